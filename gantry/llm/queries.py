@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm import decontaminate, exact_dedup, language_id, near_dedup, secret_scan, sentencepiece_codec, token_counts
+from gantry.llm import decontaminate, exact_dedup, language_id, near_dedup, secret_scan, sentencepiece_codec, token_counts, toxicity
 from gantry.llm.common import shared_dir, table
 
 
@@ -42,6 +42,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_groups(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as one batch of inserts into a new rollup, and its totals."""
     docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
@@ -61,6 +65,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
     "op5_near_dedup": op5_near_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
 }
