@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm import decontaminate, exact_dedup, language_id, near_dedup, quality, secret_scan, sentencepiece_codec, token_counts, toxicity
+from gantry.llm import decontaminate, exact_dedup, language_id, near_dedup, quality, secret_scan, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 from gantry.llm.common import shared_dir, table
 
 
@@ -55,6 +55,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
