@@ -63,6 +63,19 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+NO_ID = (1 << 63) - 1
+
+
+def ident(col: str | Column) -> Column:
+    """The id as a bigint; a null one counts as the largest, so that rows without id meet in joins and never come first."""
+    return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("long"), F.lit(NO_ID).cast("long"))
+
+
+def shown(col: str) -> Column:
+    """An id made by `ident`, null again where there was none."""
+    return F.nullif(F.col(col), F.lit(NO_ID).cast("long"))
+
+
 def bucket(col: str, n: int) -> Column:
     """crc32 of the column as text, modulo n: the fold rule of the learned operators."""
     return F.crc32(F.col(col).cast("string")) % n

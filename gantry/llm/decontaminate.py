@@ -20,7 +20,7 @@ Words are runs of characters other than `[\\x20\\x09-\\x0D]` with A-Z lower-case
 shingles are `k` consecutive words, or the whole sequence where an item has fewer, which
 then needs a document to contain that sequence of words. Defined results: null and empty
 items match nothing; null and empty documents hold nothing; repeated rows and items are
-each reported; empty tables give empty results; other columns are not read.
+each reported; rows with a null id are one document to `remove_leaks`; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import distinct_rows, shingles, text_slices, words
+from gantry.llm.common import distinct_rows, ident, shingles, text_slices, words
 
 BLOCK_BYTES = 4 << 20
 _FILTER_BITS = 22
@@ -138,6 +138,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
 def remove_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that hold no test item, with all their columns."""
-    leaked = find_leaks(docs, items, **options).select(F.col("doc_id").alias("__leaked")).distinct()
+    leaked = find_leaks(docs, items, **options).select(ident("doc_id").alias("__leaked")).distinct()
     key = options.get("doc_id", "doc_id")
-    return docs.join(leaked, docs[key].cast("long") == F.col("__leaked"), "left_anti")
+    return docs.join(leaked, ident(docs[key]) == F.col("__leaked"), "left_anti")

@@ -12,7 +12,7 @@ join, whose hot partitions adaptive execution splits.
 
 Defined results: null counts as empty, and empty texts are equal to one another. Of
 equal texts the longest (code points of the original) stays, then the smallest id.
-Rows with the same id are separate rows; an empty table gives an empty result. Columns
+Rows with the same id are separate rows; a null id comes after all others; an empty table gives an empty result. Columns
 other than the id and text are not read by `find_duplicates` and kept by `keep_one`.
 """
 
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import cut
+from gantry.llm.common import cut, ident, shown
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SLOTS, MAX_KICKS, FIRST_BUCKETS = 4, 200, 256
@@ -128,7 +128,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             sha = [hashlib.sha256(x.translate(None, WHITE)).digest() for x in col.cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sha, pa.binary()), pc.cast(pc.utf8_length(col), pa.int64())], ["doc_id", "sha", "cp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, sha binary, cp long")
+    return docs.select(ident(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, sha binary, cp long")
 
 
 def index(changes: DataFrame, partitions: int) -> DataFrame:
@@ -169,13 +169,15 @@ def find_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(digests(docs, doc_id, text), "digests")
     live = index(rows.withColumn("n", F.lit(1).cast("long")), partitions)
-    return rows.join(live, "sha").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return rows.join(live, "sha").select(shown("doc_id").alias("doc_id"), shown("keep_id").alias("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that stay: all columns of one document of each group of equal texts.
 
-    The kept ids go to the documents by a left semi join.
+    The kept ids and digests go to the documents by a left semi join. Repeated rows of the
+    document that stays, with its id and text, stay with it.
     """
-    kept = find_duplicates(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("__keep"))
-    return docs.join(kept, docs[doc_id].cast("long") == F.col("__keep"), "left_semi")
+    kept = find_duplicates(docs, doc_id, text).filter("kept").select(ident("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
+    sha = F.sha2(F.translate(F.coalesce(docs[text], F.lit("")), WHITE.decode(), ""), 256)
+    return docs.join(kept, (ident(docs[doc_id]) == F.col("__keep")) & (sha == F.col("__sha")), "left_semi")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import cut, drop_cut, mix64, prefix_hash, range_hash, text_slices
+from gantry.llm.common import cut, drop_cut, ident, mix64, prefix_hash, range_hash, shown, text_slices
 
 WINDOW, GRAM = 200, 32
 #: Bytes of contexts sorted together, and contexts of a group beyond which windows are counted by hash.
@@ -357,7 +357,7 @@ def find_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per row: doc_id, n_bytes, spans (removed runs as arrays of start and end), kept (the remaining bytes)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = docs.select(ident(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     spans = find_spans(rows, window, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +376,8 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     joined = rows.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
+    out = joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
+    return out.withColumn("doc_id", shown("doc_id"))
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
