@@ -12,10 +12,10 @@ their similarity, and every link is confirmed on the full sets.
    bucket that holds a third of all rows.
 3. Pairs whose likelihood estimate allows the threshold are verified on whole texts.
 4. Connected components of the verified links, by contraction.
-5. Buckets whose members still lie in several components are searched exactly: sketches
-   of members outside the bucket's main component are compared with those of the others,
-   in blocks of bounded size, and plausible untested pairs are verified; first each
-   member's few best, then more, then all that are left.
+5. Buckets whose members still lie in several components are searched exactly: members
+   outside the bucket's largest component are compared with the others in blocks of
+   bounded size, sketches first and full sets where the estimate allows the threshold.
+   A block gives no more links than join its components, never all its pairs.
 
 With 36 bands of 5 registers a pair at similarity 0.8 shares no band with probability
 6e-7, and the floor of the estimate lies five standard deviations below the threshold.
@@ -23,7 +23,8 @@ With 36 bands of 5 registers a pair at similarity 0.8 shares no band with probab
 Words are runs of characters other than `[\\x20\\x09-\\x0D]` with A-Z lower-cased; a set
 holds the distinct shingles of k words, or the whole sequence of a shorter text. Defined
 results: null, empty and wordless texts have an empty set and link with nothing; rows
-with the same id are one document to links; ties go to the smallest id; an empty table
+with the same id are one document to links, and so are rows with a null id, which comes
+after all others; ties go to the smallest id; an empty table
 gives an empty result; other columns are not read by `find_groups` and kept by
 `keep_one`. Texts are never cut. Sets are compared by 64-bit shingle hashes, classes by
 128 bits.
@@ -36,18 +37,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import constants, cut, distinct_rows, mix64, shingles, text_slices, word_sets, words
+from gantry.llm.common import constants, cut, distinct_rows, ident, mix64, shingles, shown, text_slices, word_sets, words
 
 BANDS, ROWS = 36, 5
 REGISTERS = BANDS * ROWS
 BASE, SCALE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Ids whose set may be broadcast: 8 bytes each.
 BROADCAST_IDS = 1_000_000
-#: Members of a block in the exact search of unresolved buckets.
-BLOCK = 4096
+#: Members and shingles of a block in the exact search of unresolved buckets.
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
 _A = (constants(REGISTERS, 21) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (constants(REGISTERS, 22) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -124,7 +126,7 @@ def sketches(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text"
                         regs[r] = x.tobytes()
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(start, end - start), pa.array(size), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(regs, pa.binary())], ["doc_id", "n", "hi", "lo", "regs"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, hi long, lo long, regs binary")
+    return docs.select(ident(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, hi long, lo long, regs binary")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -152,7 +154,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, doc_id: str
     needed = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).filter("t is not null")
+    source = docs.select(ident(doc_id).alias("id"), F.col(text).alias("t")).filter("t is not null")
     texts = cut(source.join(needed, "id", "left_semi"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,62 +206,95 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Plausible pairs (a, b) of members of a bucket in different components.
+def shingle_sets(nodes: DataFrame, docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """node, set: the shingle hashes of the documents that `nodes` names, in ascending order, as bytes."""
+    needed = cut(nodes.select("node").distinct(), "needed")
+    if needed.count() <= BROADCAST_IDS:
+        needed = F.broadcast(needed)
+    source = docs.select(ident(doc_id).alias("node"), F.col(text).alias("text")).filter("text is not null")
 
-    best: how many for each member outside the main component and block; None for all.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, end, raw, off in text_slices(b, "text"):
+                h, rows, _, _ = words(raw, off)
+                s, so = distinct_rows(*shingles(h, rows, end - start, k))
+                yield pa.RecordBatch.from_arrays([b.column("node").slice(start, end - start), pa.array([s[i:j].tobytes() for i, j in zip(so, so[1:])], pa.binary())], ["node", "set"])
+
+    return source.join(needed, "node", "left_semi").mapInArrow(run, "node long, set binary")
+
+
+def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Links (a, b) between members of a bucket in different components: enough to join what is linked.
+
+    Members outside the bucket's largest component are compared with all others, block by
+    block: sketches first, then full sets. A block keeps track of what its links join, so
+    that it gives fewer links than it has components.
     """
     floor = floor_of(percent)
     least = int(REGISTERS * max(0.0, floor - 0.15))  # equal registers, a quick first sieve
-    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
-    split = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.mode("comp", True).alias("main"))
-    split = split.filter("m > 2 and c1 <> c2").select("key", "main", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    rows = placed.join(split, "key").join(classes.select("node", "n", "regs"), "node")
-    own = F.pmod(F.xxhash64("node"), "blocks")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cols = ["key", "node", "comp", "n", "regs"]
-    targets = rows.select(*cols, F.lit(False).alias("probe"), own.alias("bt"), every.alias("bp"))
-    probes = rows.filter("comp <> main").select(*cols, F.lit(True).alias("probe"), own.alias("bp"), every.alias("bt"))
-    both = targets.unionByName(probes).repartition("key", "bt", "bp").sortWithinPartitions("key", "bt", "bp")
-
-    def pairs(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    placed = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("comp"))
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    split = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("c", "comp"))["comp"].alias("main"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
+    split = split.filter("m > 2 and comps > 1").select("key", "main", blocks.alias("blocks"))
+    rows = cut(placed.join(split, "key"), "unresolved")
+    held = rows.join(classes.select("node", "regs"), "node").join(shingle_sets(rows, docs, k, doc_id, text).dropDuplicates(["node"]), "node")
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    place = lambda probe, bt, bp: F.struct(F.lit(probe).alias("probe"), bt.alias("bt"), bp.alias("bp"))
+    places = F.concat(F.transform(every, lambda i: place(False, own, i)), F.when(F.col("comp") != F.col("main"), F.transform(every, lambda i: place(True, i, own))).otherwise(F.array().cast("array<struct<probe:boolean,bt:int,bp:int>>")))
+    both = held.select("key", "node", "comp", "n", "regs", "set", F.explode(places).alias("p")).select("key", "node", "comp", "n", "regs", "set", "p.*")
+    both = both.repartition("key", "bt", "bp").sortWithinPartitions("key", "bt", "bp")
+
+    def links(g: pa.Table) -> pa.RecordBatch:
         regs = np.frombuffer(b"".join(g.column("regs").to_pylist()), np.uint16).reshape(g.num_rows, -1)
         probe = g.column("probe").to_numpy(zero_copy_only=False).astype(bool)
-        node, comp, n = (g.column(c).to_numpy() for c in ("node", "comp", "n"))
+        node, comp = (g.column(c).to_numpy() for c in ("node", "comp"))
+        n = pc.binary_length(g.column("set")).to_numpy().astype(np.int64) // 8
+        joined = np.unique(comp, return_inverse=True)[1]  # components as this block's links join them
         t = np.flatnonzero(~probe)
+        tokens, off, universe = None, np.concatenate([[0], np.cumsum(n)]), 0
         left, right = [], []
         for i in np.flatnonzero(probe):
-            near = t[(comp[t] != comp[i]) & (100 * np.minimum(n[t], n[i]) >= percent * np.maximum(n[t], n[i]))]
-            if not len(near):
-                continue
-            near = near[(regs[near] == regs[i]).sum(axis=1) >= least]
+            near = t[(joined[t] != joined[i]) & (100 * np.minimum(n[t], n[i]) >= percent * np.maximum(n[t], n[i]))]
+            near = near[(regs[near] == regs[i]).sum(axis=1) >= least] if len(near) else near
+            if len(near):
+                est = likelihood(np.full(len(near), n[i]), n[near], (regs[i] > regs[near]).sum(axis=1), (regs[i] < regs[near]).sum(axis=1))
+                near = near[est >= floor]
             if not len(near):
                 continue
-            est = likelihood(np.full(len(near), n[i]), n[near], (regs[i] > regs[near]).sum(axis=1), (regs[i] < regs[near]).sum(axis=1))
-            near, est = near[est >= floor], est[est >= floor]
-            if best is not None and len(near) > best:
-                near = near[np.argsort(-est, kind="stable")[:best]]
-            left.append(np.minimum(node[i], node[near]))
-            right.append(np.maximum(node[i], node[near]))
-        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if tokens is None:
+                known, tokens = np.unique(np.frombuffer(b"".join(g.column("set").to_pylist()), np.uint64), return_inverse=True)
+                universe = np.zeros(len(known), np.uint8)
+            universe[tokens[off[i] : off[i + 1]]] = 1
+            sizes = n[near]
+            at = np.repeat(off[near] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+            shared = np.add.reduceat(universe[tokens[at]], np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+            universe[tokens[off[i] : off[i + 1]]] = 0
+            near = near[100 * shared >= percent * (n[i] + sizes - shared)]
+            for c, j in zip(*np.unique(joined[near], return_index=True)):
+                left.append(min(node[i], node[near[j]]))
+                right.append(max(node[i], node[near[j]]))
+                joined[joined == c] = joined[i]
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        block: list[pa.Table] = []
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            k = np.stack([t.column(c).to_numpy() for c in ("key", "bt", "bp")])
-            starts = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+            where = np.stack([t.column(c).to_numpy() for c in ("key", "bt", "bp")])
+            starts = np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1
             bounds = [0, *starts.tolist(), t.num_rows]
             for i, j in zip(bounds, bounds[1:]):
                 part = t.slice(i, j - i)
-                if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("key", "bt", "bp")):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(pa.concat_tables(held))], ["a", "b"])
-                    held = []
-                held.append(part)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(pa.concat_tables(held))], ["a", "b"])
+                if block and any(block[0].column(c)[0] != part.column(c)[0] for c in ("key", "bt", "bp")):
+                    yield links(pa.concat_tables(block))
+                    block = []
+                block.append(part)
+        if block:
+            yield links(pa.concat_tables(block))
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
@@ -270,7 +305,7 @@ def find_groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "d
     full = seen.filter("n > 0")
     classes = cut(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("regs").alias("regs")), "classes")
     band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)]))
-    bands = classes.select("node", band.alias("key"))
+    bands = classes.select("node", "n", band.alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("hub"), F.max("node").alias("end"), F.bit_xor(F.xxhash64("node")).alias("sig")).filter("hub <> end")
     buckets = cut(buckets.groupBy("m", "hub", "end", "sig").agg(F.min("key").alias("key")), "buckets")
     members = cut(bands.join(buckets.select("key", "hub"), "key").distinct(), "members")
@@ -278,24 +313,18 @@ def find_groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "d
     tested = cut(plausible(star, classes, percent), "pairs")
     links = cut(verify(tested, docs, k, percent, doc_id, text), "links")
     labels = components(links)
-    for best in (4, 64, None):
-        more = cut(_across(members, classes, labels, percent, best), "across")
-        if more.isEmpty():
-            break
-        new = cut(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            tested = tested.union(new)
-            links = links.union(cut(verify(new, docs, k, percent, doc_id, text), "links"))
-            labels = components(links)
+    more = cut(_across(members, classes, labels, docs, k, percent, doc_id, text), "across")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     # the smallest id of each component, then of each class
     named = labels.groupBy("label").agg(F.min("node").alias("component_id")).join(labels, "label").select("node", "component_id")
     of_class = classes.select("hi", "lo", "node").join(named, "node", "left").select("hi", "lo", F.coalesce("component_id", "node").alias("component_id"))
     rows = full.select("doc_id", "n", "hi", "lo").join(of_class, ["hi", "lo"]).select("doc_id", "n", "component_id")
     rows = rows.unionByName(seen.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return rows.select(shown("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay: all columns of the smallest id of each group."""
-    gone = find_groups(docs, k, percent, doc_id, text).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[doc_id].cast("long") == F.col("__gone"), "left_anti")
+    gone = find_groups(docs, k, percent, doc_id, text).filter("not kept").select(ident("doc_id").alias("__gone"))
+    return docs.join(gone, ident(docs[doc_id]) == F.col("__gone"), "left_anti")
