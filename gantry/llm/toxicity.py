@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 1. Terms are the words of a lower-cased text and the 6-byte strings within its words.
-   Those that mark label 1 more often than chance explains (z-score of the log odds)
-   are the vector space, at most `max_terms` of them; their document frequencies are
+   Those that mark label 1 more often than chance explains (by likelihood ratio) are
+   the vector space, at most `max_terms` of them; their document frequencies are
    counted over all documents.
 2. Labelled examples are a bounded sample, `max_examples` at most, drawn by a hash of
    the id and half from either label where there are enough; votes are weighted by the
@@ -37,10 +37,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import bucket, cut, prefix_hash, range_hash, text_slices
+from gantry.llm.common import bucket, cut, ident, prefix_hash, range_hash, text_slices
 
-MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK = 8_000, 4_096, 15, 64
-GRAM, LEAST_DOCS, LEAST_Z = 6, 4, 3.3
+MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK, FIRST_BLOCKS = 8_000, 4_096, 15, 64, 4
+GRAM, LEAST_DOCS, LEAST_RATIO = 6, 4, 28.0
 _FILTER_BITS = 20
 _PLAIN = np.zeros(256, bool)
 _PLAIN[48:58] = _PLAIN[97:123] = _PLAIN[128:] = True  # digits, letters, and bytes of other letters
@@ -118,45 +118,54 @@ class BlockMaxIndex:
         self.blank_ids = [v[0] for v in blank]
         self.order = {(v[0]): i for i, v in enumerate(full)}
         self.blocks = -(-len(full) // block)
-        post: dict[int, list[tuple[int, float]]] = {}
-        for i, v in enumerate(full):
-            for t, w in zip(v[1].tolist(), v[2].tolist()):
-                post.setdefault(t, []).append((i, w))
-        #: of each term: examples, weights, where each block's postings begin, and the blocks' largest weights
-        self.lists: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for t, p in post.items():
-            at, w = np.array([i for i, _ in p], np.int64), np.array([x for _, x in p])
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, at // block, w)
-            self.lists[t] = at, w, np.searchsorted(at, np.arange(self.blocks + 1) * block), most
+        sizes = np.array([len(v[1]) for v in full], np.int64)
+        terms = np.concatenate([v[1] for v in full]) if full else np.zeros(0, np.int64)
+        weights = np.concatenate([v[2] for v in full]) if full else np.zeros(0)
+        places = np.repeat(np.arange(len(full)), sizes)
+        #: postings by term and then example; where each block of each term begins, and its largest weight
+        order = np.lexsort((places, terms))
+        self.places, self.weights = places[order], weights[order]
+        cell = terms[order] * self.blocks + self.places // block
+        self.begin = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1)).astype(np.int64)
+        most = np.zeros(n_terms * self.blocks)
+        np.maximum.at(most, cell, self.weights)
+        self.most = most.reshape(n_terms, self.blocks)
+
+    def _cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of all examples of some blocks; those of other blocks are 0."""
+        cells = (terms[:, None] * self.blocks + blocks[None]).ravel()
+        sizes = self.begin[cells + 1] - self.begin[cells]
+        at = np.repeat(self.begin[cells] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        return np.bincount(self.places[at], self.weights[at] * np.repeat(np.repeat(weights, len(blocks)), sizes), len(self.ids))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples that share a term, nearest first."""
-        known = [(self.lists[t], w) for t, w in zip(terms.tolist(), weights.tolist()) if t in self.lists]
-        if not known:
+        """Places and cosines of the k nearest examples that share a term, nearest first.
+
+        The most promising blocks are summed up first; then, at once, all others whose
+        bound reaches the k-th cosine so far.
+        """
+        if not len(terms) or not self.blocks:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.zeros(self.blocks)
-        for (_, _, _, most), w in known:
-            bound += w * most
-        at, near, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(near) == k and bound[b] < least - 1e-9:
+        bound = weights @ self.most[terms]
+        order = np.argsort(-bound, kind="stable")
+        order = order[: np.searchsorted(-bound[order], 0.0)]  # blocks without a common term
+        sums, done, least = np.zeros(len(self.ids)), 0, 0.0
+        for step in (FIRST_BLOCKS, len(order)):
+            take = order[done : done + step]
+            take = take[bound[take] >= least - 1e-9]
+            if not len(take):
                 break
-            sums = np.zeros(self.block)
-            for (where, weight, begin, most), w in known:
-                if most[b]:
-                    s = slice(begin[b], begin[b + 1])
-                    sums[where[s] - b * self.block] += w * weight[s]
-            new = np.flatnonzero(sums > 0)
-            here = new + b * self.block
+            sums += self._cosines(terms, weights, take)
+            done += step
             if without is not None:
-                keep = here != without
-                new, here = new[keep], here[keep]
-            at, near = np.concatenate([at, here]), np.concatenate([near, sums[new]])
-            pick = np.lexsort((at, -np.round(near, 9)))[:k]
-            at, near = at[pick], near[pick]
-            least = near[-1] if len(near) == k else 0.0
-        return at, near
+                sums[without] = 0.0
+            some = sums[np.flatnonzero(sums)]
+            if len(some) >= k:
+                least = np.partition(some, -k)[-k]
+        at = np.flatnonzero(sums >= max(least - 1e-9, 1e-12))
+        near = np.round(sums[at], 9)
+        pick = np.lexsort((at, -near))[:k]
+        return at[pick], sums[at[pick]]
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[float, list[int], list[float]]:
         """Share of label 1 among the neighbours, weighted by distance; their ids and cosines."""
@@ -203,7 +212,13 @@ class Model:
         self.terms, self.idf, self.vectors, self.curve, self.neighbours = terms, idf, vectors, curve, neighbours
 
     def ready(self) -> tuple[Terms, np.ndarray, BlockMaxIndex]:
-        return Terms(self.terms), np.array(self.idf), BlockMaxIndex([(i, np.array(t, np.int64), np.array(w), y, v) for i, t, w, y, v in self.vectors], len(self.terms))
+        """The index, made once in each worker."""
+        if not hasattr(self, "_ready"):
+            self._ready = Terms(self.terms), np.array(self.idf), BlockMaxIndex([(i, np.array(t, np.int64), np.array(w), y, v) for i, t, w, y, v in self.vectors], len(self.terms))
+        return self._ready
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_ready"}
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, neighbours: int = NEIGHBOURS) -> Model:
@@ -232,10 +247,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
                 yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(n), pa.array(np.add.reduceat(yes, first) if len(first) else n)], ["t", "n", "yes"])
 
     n_yes, n_no = sum(y for _, y in drawn), sum(1 - y for _, y in drawn)
-    a, b = F.col("yes") + 0.5, F.col("n") - F.col("yes") + 0.5
-    odds = F.log(a / (n_yes + 1)) - F.log(b / (n_no + 1))
     counted = examples.mapInArrow(marks, "t long, n long, yes long").groupBy("t").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes")).filter(F.col("n") >= LEAST_DOCS)
-    marking = counted.withColumn("z", odds / F.sqrt(1 / a + 1 / b)).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "t").limit(max_terms).select("t").collect()
+    # likelihood ratio of the term's counts under two rates against one
+    seen, share = F.col("n"), F.col("n") / (n_yes + n_no)
+    part = lambda k, want: F.when(k > 0, k * F.log(k / F.greatest(want, F.lit(1e-9)))).otherwise(0.0)
+    a, b = F.col("yes"), seen - F.col("yes")
+    ratio = 2 * (part(a, n_yes * share) + part(b, n_no * share) + part(n_yes - a, n_yes * (1 - share)) + part(n_no - b, n_no * (1 - share)))
+    marking = counted.filter(a * n_no > b * n_yes).withColumn("g", ratio).filter(F.col("g") >= LEAST_RATIO).orderBy(F.desc("g"), "t").limit(max_terms).select("t").collect()
     if not marking:
         return empty
     hashes = np.sort(np.array([r["t"] for r in marking], np.int64).view(np.uint64)).view(np.int64).tolist()
@@ -311,5 +329,5 @@ def score_all(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` with a score below the threshold, with all their columns."""
     model = learn(docs, labels.filter(bucket("doc_id", 5) != 0))
-    toxic = score(docs.withColumn("doc_id", F.col("doc_id").cast("long")), model).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("__toxic")).distinct()
-    return docs.join(toxic, docs["doc_id"].cast("long") == F.col("__toxic"), "left_anti")
+    toxic = score(docs.withColumn("doc_id", F.col("doc_id").cast("long")), model).filter(F.col("score") >= threshold).select(ident("doc_id").alias("__toxic")).distinct()
+    return docs.join(toxic, ident(docs["doc_id"]) == F.col("__toxic"), "left_anti")
