@@ -69,7 +69,16 @@ def _ops(block: Column) -> Column:
 
 
 def _count(ops: Column, holds) -> Column:
-    return F.size(F.filter(ops, holds)).cast("double")
+    return F.size(F.filter(ops, lambda o: holds(o))).cast("double")
+
+
+def _counts(kinds: Column, names: Sequence[str]) -> list[Column]:
+    """How often each name is in an array of names."""
+    return [F.size(F.filter(kinds, _equals(n))).cast("double") for n in names]
+
+
+def _equals(name: str):
+    return lambda k: k == name
 
 
 def offspring(block: Column) -> Column:
@@ -89,7 +98,7 @@ def gemini(block: Column, arch: Column, reduced: bool = False) -> Column:
     kind = lambda o: first_class([(n, in_class(o["code"], arch, n)) for n in ("call", "transfer", "arithmetic")], "")
     ops = _ops(block)
     kinds = F.transform(ops, kind)
-    out = [_count(kinds, lambda k, n=n: k == n) for n in ("call", "transfer", "arithmetic")]
+    out = _counts(kinds, ("call", "transfer", "arithmetic"))
     out += [F.size(ops).cast("double"), _count(ops, lambda o: o["number"]), _count(ops, lambda o: o["string"])]
     if not reduced:
         out.append(F.when(F.size(block["ops"]) > 0, offspring(block)).otherwise(0.0))
@@ -104,14 +113,17 @@ def dgis(block: Column, arch: Column) -> Column:
         return first_class([(n, in_class(o["code"], arch, n) & o["lib"] if n == "call" else in_class(o["code"], arch, n)) for n in order], "generic")
 
     kinds = F.transform(_ops(block), kind)
-    return _known(arch, F.array(*[_count(kinds, lambda k, n=n: k == n) for n in (*order, "generic")]))
+    return _known(arch, F.array(*_counts(kinds, (*order, "generic"))))
 
 
 def tiknib(block: Column, arch: Column) -> Column:
     """Seven overlapping counts."""
     ops = _ops(block)
-    out = [_count(ops, lambda o, names=names: in_group(o["code"], arch, names)) for names in OVERLAPPING.values()]
-    return _known(arch, F.array(*out, F.size(ops).cast("double")))
+
+    def member(names: Sequence[str]):
+        return lambda o: in_group(o["code"], arch, names)
+
+    return _known(arch, F.array(*[_count(ops, member(names)) for names in OVERLAPPING.values()], F.size(ops).cast("double")))
 
 
 def features(block: Column, arch: Column, kind: str) -> Column:
