@@ -49,18 +49,42 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    if Scratch.open:
+        Scratch.open[-1].made.append(path)
+    return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table made by `cut` that is no longer read."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.split(":", 1)[-1].lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+class Scratch:
+    """Deletes the tables that `cut` makes while it is open, but for those it is told to keep.
+
+    with Scratch(spark) as s:
+        out = s.keep(cut(...))
+    """
+
+    open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch.open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A table made by `cut` that outlives this scope; a scope around it takes it over."""
+        self.made.remove(df.cut_path)
+        outer = Scratch.open[: Scratch.open.index(self)]
+        if outer:
+            outer[-1].made.append(df.cut_path)
+        return df
+
+    def __exit__(self, *error: object) -> None:
+        Scratch.open.remove(self)
+        for name in self.made:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 NO_ID = (1 << 63) - 1

@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import constants, cut, distinct_rows, ident, mix64, shingles, shown, text_slices, word_sets, words
+from gantry.llm.common import Scratch, constants, cut, distinct_rows, ident, mix64, shingles, shown, text_slices, word_sets, words
 
 BANDS, ROWS = 36, 5
 REGISTERS = BANDS * ROWS
@@ -188,22 +188,24 @@ def components(links: DataFrame) -> DataFrame:
     Rounds of: each node points to its smallest neighbour, pointers are followed twice, and
     the graph is contracted along them. Each round at least roughly halves the nodes.
     """
-    edges = cut(links.filter("a <> b"), "edges")
-    labels = None
-    while not edges.isEmpty():
-        both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a"))
-        p = cut(both.groupBy("x").agg(F.least("x", F.min("y")).alias("p")), "parents")
-        for _ in range(2):
-            q = p.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-            p = p.join(q, "p").select("x", F.col("pp").alias("p"))
-        p = cut(p, "parents")
-        if labels is None:
-            labels = p.select(F.col("x").alias("node"), F.col("p").alias("label"))
-        else:
-            labels = cut(labels.join(p, labels["label"] == p["x"], "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
-        a, b = p.select(F.col("x").alias("a"), F.col("p").alias("pa")), p.select(F.col("x").alias("b"), F.col("p").alias("pb"))
-        edges = cut(edges.join(a, "a").join(b, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    with Scratch(links.sparkSession) as scratch:
+        edges = cut(links.filter("a <> b"), "edges")
+        labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
+        first = True
+        while not edges.isEmpty():
+            both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a"))
+            p = cut(both.groupBy("x").agg(F.least("x", F.min("y")).alias("p")), "parents")
+            for _ in range(2):
+                q = p.select(F.col("x").alias("p"), F.col("p").alias("pp"))
+                p = p.join(q, "p").select("x", F.col("pp").alias("p"))
+            p = cut(p, "parents")
+            if first:
+                labels, first = p.select(F.col("x").alias("node"), F.col("p").alias("label")), False
+            else:
+                labels = cut(labels.join(p, labels["label"] == p["x"], "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
+            a, b = p.select(F.col("x").alias("a"), F.col("p").alias("pa")), p.select(F.col("x").alias("b"), F.col("p").alias("pb"))
+            edges = cut(edges.join(a, "a").join(b, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        return scratch.keep(cut(labels, "components"))
 
 
 def shingle_sets(nodes: DataFrame, docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -301,24 +303,29 @@ def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, docs: Dat
 
 def find_groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    seen = cut(sketches(docs, k, doc_id, text), "sketches")
-    full = seen.filter("n > 0")
-    classes = cut(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("regs").alias("regs")), "classes")
-    band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)]))
-    bands = classes.select("node", "n", band.alias("key"))
-    buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("hub"), F.max("node").alias("end"), F.bit_xor(F.xxhash64("node")).alias("sig")).filter("hub <> end")
-    buckets = cut(buckets.groupBy("m", "hub", "end", "sig").agg(F.min("key").alias("key")), "buckets")
-    members = cut(bands.join(buckets.select("key", "hub"), "key").distinct(), "members")
-    star = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tested = cut(plausible(star, classes, percent), "pairs")
-    links = cut(verify(tested, docs, k, percent, doc_id, text), "links")
-    labels = components(links)
-    more = cut(_across(members, classes, labels, docs, k, percent, doc_id, text), "across")
-    if not more.isEmpty():
-        labels = components(links.union(more))
-    # the smallest id of each component, then of each class
-    named = labels.groupBy("label").agg(F.min("node").alias("component_id")).join(labels, "label").select("node", "component_id")
-    of_class = classes.select("hi", "lo", "node").join(named, "node", "left").select("hi", "lo", F.coalesce("component_id", "node").alias("component_id"))
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        seen = scratch.keep(cut(sketches(docs, k, doc_id, text), "sketches"))
+        full = seen.filter("n > 0")
+        classes = cut(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("regs").alias("regs")), "classes")
+        band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)]))
+        bands = classes.select("node", "n", band.alias("key"))
+        buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("hub"), F.max("node").alias("end"), F.bit_xor(F.xxhash64("node")).alias("sig")).filter("hub <> end")
+        buckets = cut(buckets.groupBy("m", "hub", "end", "sig").agg(F.min("key").alias("key")), "buckets")
+        members = cut(bands.join(buckets.select("key", "hub"), "key").distinct(), "members")
+        star = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        with Scratch(spark) as step:
+            tested = cut(plausible(star, classes, percent), "pairs")
+            links = step.keep(cut(verify(tested, docs, k, percent, doc_id, text), "links"))
+        labels = components(links)
+        with Scratch(spark) as step:
+            more = step.keep(cut(_across(members, classes, labels, docs, k, percent, doc_id, text), "across"))
+        if not more.isEmpty():
+            labels = components(links.union(more))
+        # the smallest id of each component, then of each class
+        named = labels.groupBy("label").agg(F.min("node").alias("component_id")).join(labels, "label").select("node", "component_id")
+        of_class = classes.select("hi", "lo", "node").join(named, "node", "left").select("hi", "lo", F.coalesce("component_id", "node").alias("component_id"))
+        of_class = scratch.keep(cut(of_class, "named"))
     rows = full.select("doc_id", "n", "hi", "lo").join(of_class, ["hi", "lo"]).select("doc_id", "n", "component_id")
     rows = rows.unionByName(seen.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return rows.select(shown("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import cut, drop_cut, ident, mix64, prefix_hash, range_hash, shown, text_slices
+from gantry.llm.common import Scratch, cut, ident, mix64, prefix_hash, range_hash, shown, text_slices
 
 WINDOW, GRAM = 200, 32
 #: Bytes of contexts sorted together, and contexts of a group beyond which windows are counted by hash.
@@ -336,23 +336,22 @@ def resolve(parts: DataFrame, window: int, block_bytes: int = BLOCK_BYTES, limit
 
 def find_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, th, s, e: spans of bytes that repeat; a text's spans may overlap. docs: doc_id, th, text."""
-    seen = cut(anchors(docs, window, gram), "anchors")
-    counted = seen.filter("f is not null").groupBy("f").agg(F.sum("n").alias("m"), F.min("h").alias("h1"), F.max("h").alias("h2")).filter("m > 1")
-    held = cut(seen.join(counted.select("f", (F.col("h1") != F.col("h2")).alias("mixed")), "f"), "repeats")
-    mixed = held.filter("mixed")
-    classes = cut(mixed.groupBy("f", "h").agg(F.sum("n").alias("m"), F.min(F.struct("doc_id", "th", "lo", "hi", "at")).alias("r")), "classes")
-    span = ("doc_id", "th", F.col("lo").cast("long").alias("s"), (F.col("hi") + window).cast("long").alias("e"))
-    sure = held.filter("not mixed").select(*span).unionByName(mixed.join(classes.filter("m > 1").select("f", "h"), ["f", "h"]).select(*span))
-    sure = sure.unionByName(seen.filter("f is null").select(*span))
-    # contexts that occur once, and all that they might share a window with
-    open_ = classes.groupBy("f").agg(F.min("m").alias("least")).filter("least = 1").select("f")
-    todo = classes.join(open_, "f").select("r.*", (F.col("m") == 1).alias("single"))
-    todo = cut(todo.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "at", "single")).alias("items")), "open")
-    parts = cut(contexts(docs.join(todo, ["doc_id", "th"]).select("doc_id", "th", "text", "items"), window, gram), "contexts")
-    out = cut(sure.unionByName(resolve(parts, window)).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
-    for df in (seen, held, classes, todo, parts):
-        drop_cut(df)
-    return out
+    with Scratch(docs.sparkSession) as scratch:
+        seen = cut(anchors(docs, window, gram), "anchors")
+        counted = seen.filter("f is not null").groupBy("f").agg(F.sum("n").alias("m"), F.min("h").alias("h1"), F.max("h").alias("h2")).filter("m > 1")
+        held = cut(seen.join(counted.select("f", (F.col("h1") != F.col("h2")).alias("mixed")), "f"), "repeats")
+        mixed = held.filter("mixed")
+        classes = cut(mixed.groupBy("f", "h").agg(F.sum("n").alias("m"), F.min(F.struct("doc_id", "th", "lo", "hi", "at")).alias("r")), "classes")
+        span = ("doc_id", "th", F.col("lo").cast("long").alias("s"), (F.col("hi") + window).cast("long").alias("e"))
+        sure = held.filter("not mixed").select(*span).unionByName(mixed.join(classes.filter("m > 1").select("f", "h"), ["f", "h"]).select(*span))
+        sure = sure.unionByName(seen.filter("f is null").select(*span))
+        # contexts that occur once, and all that they might share a window with
+        open_ = classes.groupBy("f").agg(F.min("m").alias("least")).filter("least = 1").select("f")
+        todo = classes.join(open_, "f").select("r.*", (F.col("m") == 1).alias("single"))
+        todo = cut(todo.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "at", "single")).alias("items")), "open")
+        parts = cut(contexts(docs.join(todo, ["doc_id", "th"]).select("doc_id", "th", "text", "items"), window, gram), "contexts")
+        spans = sure.unionByName(resolve(parts, window)).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        return scratch.keep(cut(spans, "spans"))
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
