@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gantry.functions import normalise, text
-from gantry.operators import corpus, tokeniser
+from gantry.functions.opcodes import ARCHITECTURES, CLASSES, GROUPS, OVERLAPPING
+from gantry.operators import blocks, corpus, tokeniser
 from gantry.plans.rows import _sentences, _table
 
 _SORTS = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
@@ -106,6 +107,26 @@ def dfs_walk(spark: SparkSession, d: str) -> DataFrame:
     return each.select("l_orderkey", F.posexplode(walk).alias("start", "walk")).select("l_orderkey", "start", F.array_join(F.transform("walk", lambda i: i.cast("string")), " ").alias("walk"))
 
 
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as basic blocks of the instructions of their lines, on three architectures."""
+    text = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("call 0x"), _hex("l_partkey"), F.lit(" ; imp"))).otherwise(_instruction())
+    kind = F.when(F.col("l_quantity") > 45, "invalid").when(F.col("l_linenumber") == 7, "nop").otherwise("mov")
+    ops = F.collect_list(F.struct(kind.alias("type"), text.alias("opcode"), text.alias("disasm")))
+    number = F.col("l_orderkey")
+    each = _lines(spark, d).groupBy("l_orderkey").agg(ops.alias("ops"))
+    arch = F.when(number % 4 == 0, "X86").when(number % 4 == 1, "ARM").when(number % 4 == 2, "MIPS")
+    switch = F.when(number % 5 == 0, F.struct(F.array(F.lit(1), F.lit(2)).alias("cases")))
+    return each.select("l_orderkey", arch.alias("arch"), F.struct("ops", (number % 3).alias("jump"), F.lit(-1).alias("fail"), switch.alias("switchop")).alias("block"))
+
+
+def _features(kind: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        vector = _blocks(spark, d).select("l_orderkey", blocks.features(F.col("block"), F.col("arch"), kind).alias("v"))
+        return vector.select("l_orderkey", *[F.get("v", F.lit(i)).cast("bigint").alias(n) for i, n in enumerate(blocks.FEATURES[kind])])
+
+    return query
+
+
 def bpe_pretoken_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts of lower-case words and blanks: texts reduced to letters that every engine classes alike."""
     plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9 ]", " ")
@@ -119,6 +140,7 @@ def bpe_vocab(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (normalise_disasm, mask_registers, normalise_esil, normalise_documents, function_string, string_map, linear_walk, line_split, instruction_pairs, pcode_pairs, dfs_walk, bpe_pretoken_counts, bpe_vocab)}
+QUERIES |= {f"{k}_features": _features(k) for k in blocks.FEATURES}
 
 
 def _sql_rewritten(column: str, patterns: list[tuple[str, str]]) -> str:
@@ -149,7 +171,46 @@ _MASK = f"""CASE WHEN list_contains({_FP}, t) THEN 'fp' WHEN list_contains({_R32
     WHEN t[1] = '[' THEN CASE WHEN list_contains({_R32}, t[2:]) THEN '[reg32' WHEN list_contains({_R64}, t[2:]) THEN '[reg64' ELSE t END
     WHEN contains(t, '*') THEN array_to_string(list_transform(string_split(t, '*'), lambda p: CASE WHEN list_contains({_R64}, p) THEN 'reg64' ELSE p END), '*') ELSE t END"""
 
+#: The mnemonics that the lines have, and which of them are in a class.
+_CODES = ("mov", "lea", "call", "lw", "cmp", "nop")
+
+
+def _in(lists: list[tuple[str, list[str]]]) -> str:
+    """Whether an operation's code is in the lists of its architecture."""
+    return "(" + " OR ".join(f"(arch = '{a}' AND list_contains({_quoted([c for c in _CODES if c in words])}::VARCHAR[], code))" for a, words in lists) + ")"
+
+
+def _class(*names: str) -> str:
+    return _in([(a, [w for n in names for w in CLASSES[a][n]]) for a in ARCHITECTURES])
+
+
+def _group(*names: str) -> str:
+    return _in([(a, [w for n in names for w in GROUPS[a][n]]) for a in ARCHITECTURES])
+
+
+_OPS = f"""
+    t AS (SELECT *, CASE WHEN l_returnflag = 'A' THEN 'call 0x' || {_HEX.format("l_partkey")} || ' ; imp' ELSE {_INSTRUCTION} END AS dis FROM lineitem),
+    o AS (SELECT l_orderkey, CASE l_orderkey % 4 WHEN 0 THEN 'X86' WHEN 1 THEN 'ARM' WHEN 2 THEN 'MIPS' END AS arch, dis,
+        CASE WHEN l_quantity > 45 THEN NULL WHEN l_linenumber = 7 THEN 'nop' ELSE string_split(dis, ' ')[1] END AS code FROM t)"""
+
+
+def _counted(kinds: list[tuple[str, str]], more: str = "") -> str:
+    """Counts of operations with a code by condition; nothing for an unknown architecture."""
+    known = "CASE WHEN any_value(arch) IS NOT NULL THEN {} END::BIGINT AS \"{}\""
+    return f"WITH {_OPS} SELECT l_orderkey, {', '.join(known.format(f'count(*) FILTER (code IS NOT NULL AND {x})', n) for n, x in kinds)}{more} FROM o GROUP BY l_orderkey"
+
+
+_GEMINI = [("numCalls", _class("call")), ("numTransfer", f"{_class('transfer')} AND NOT {_class('call')}"), ("numArith", f"{_class('arithmetic')} AND NOT {_class('transfer', 'call')}"), ("numIns", "true"), ("numericConsts", "contains(dis, ', 0x')"), ("stringConsts", "contains(dis, ' str.')")]
+_OFFSPRING = ", CASE WHEN any_value(arch) IS NOT NULL THEN 1 + (l_orderkey % 3 <> 0)::INT + CASE WHEN l_orderkey % 5 = 0 THEN 2 ELSE 0 END END::BIGINT AS \"numOffspring\""
+_DGIS_ORDER = [("numStackOps", _class("stack")), ("numArithOps", _class("arithmetic")), ("numLogicOps", _class("logic")), ("numCmpOps", _class("compare")), ("numLibCalls", f"({_class('call')} AND contains(dis, 'imp'))"), ("numUnconJumps", _class("unconditional")), ("numConJumps", _class("conditional"))]
+_DGIS = [(n, x + "".join(f" AND NOT {y}" for _, y in _DGIS_ORDER[:i])) for i, (n, x) in enumerate(_DGIS_ORDER)]
+_DGIS.append(("numGenericIns", "true" + "".join(f" AND NOT {y}" for _, y in _DGIS_ORDER)))
+
 ORACLE_SQL = {
+    "gemini_features": _counted(_GEMINI, _OFFSPRING),
+    "discovre_features": _counted(_GEMINI),
+    "dgis_features": _counted(_DGIS),
+    "tiknib_features": _counted([*((n, _group(*groups)) for n, groups in OVERLAPPING.items()), ("total", "true")]),
     "normalise_disasm": f"WITH x AS (SELECT l_linenumber, {_INSTRUCTION} AS i FROM lineitem) SELECT l_linenumber, {_DISASM} AS text, count(*) AS n FROM x GROUP BY ALL",
     "mask_registers": f"""
         WITH x AS (SELECT l_linenumber, {_INSTRUCTION} AS i FROM lineitem), y AS (SELECT l_linenumber, {_DISASM} AS i, count(*) AS n FROM x GROUP BY ALL)
