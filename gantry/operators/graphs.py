@@ -151,15 +151,54 @@ def local_nodes(edges: DataFrame, entries: DataFrame) -> DataFrame:
     return own.unionByName(ends).groupBy("binary", "func", "name").agg(F.min("rank").alias("rank"))
 
 
-def graph_documents(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("binary", "func"), attributes: Sequence[str] = (), weight: int = 0) -> DataFrame:
+def strict_graph(entries: DataFrame, variant: str = "cg", include_unk: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of each function's graph as earlier tools built it, for `graph_documents` with ids by `key`.
+
+    Every import and every caller is a node of its own, even if its name is there already
+    (a repeated import, a call to itself, a caller that is also a callee), and an unknown
+    caller is a node without an edge. Only callees of callees look nodes up by name, and
+    find the first.
+    """
+    steps = VARIANTS[variant]
+    called = calls(entries, include_unk).drop("func_idx").join(entries.select("binary", F.col("name").alias("caller"), "func_idx"), ["binary", "caller"])
+    key = lambda stage, *parts: F.concat_ws(".", F.lit(str(stage)), *parts).alias("key")
+    rank = lambda stage, i, j: F.array(F.lit(stage), i.cast("int"), j.cast("int")).alias("rank")
+    at = F.col("ord").cast("string")
+    zero = F.lit(0)
+    own = entries.select("binary", F.col("name").alias("func"), key(0), "name", rank(0, zero, zero))
+    callees = called.select("binary", F.col("caller").alias("func"), key(1, at), F.col("callee").alias("name"), rank(1, F.col("ord"), zero))
+    nodes = own.unionByName(callees)
+    edges = callees.select("binary", "func", F.lit("0").alias("src"), F.col("key").alias("dst"), "rank")
+    if "callers" in steps:
+        every = calls(entries).select("binary", F.col("callee").alias("func"), "func_idx", F.col("caller").alias("name")).distinct()
+        every = every.join(entries.select("binary", F.col("name").alias("func")).distinct(), ["binary", "func"], "left_semi")
+        back = every.select("binary", "func", key(2, F.col("func_idx").cast("string")), "name", rank(2, F.col("func_idx"), zero))
+        nodes = nodes.unionByName(back)
+        known = back if include_unk else back.filter(~F.col("name").startswith("unk."))
+        edges = edges.unionByName(known.select("binary", "func", F.col("key").alias("src"), F.lit("0").alias("dst"), "rank"))
+    if "hop" in steps:
+        one = called.select("binary", F.col("caller").alias("func"), F.col("callee").alias("mid"), F.col("ord").alias("i"))
+        two = called.select("binary", F.col("caller").alias("mid"), F.col("callee").alias("name"), (F.col("func_idx") * 100_000 + F.col("ord")).alias("j"))
+        hop = one.join(two, ["binary", "mid"])
+        seen = hop.groupBy("binary", "func", "name").agg(F.min(rank(3, F.col("i"), F.col("j"))).alias("rank")).select("binary", "func", key(3, F.col("name")), "name", "rank")
+        nodes = nodes.unionByName(seen.join(nodes.select("binary", "func", "name").distinct(), ["binary", "func", "name"], "left_anti"))
+        first = nodes.groupBy("binary", "func", "name").agg(F.min_by("key", "rank").alias("k"))
+        named = hop.join(first.select("binary", "func", F.col("name").alias("mid"), F.col("k").alias("src")), ["binary", "func", "mid"]).join(first.withColumnRenamed("k", "dst"), ["binary", "func", "name"])
+        more = named.groupBy("binary", "func", "src", "dst").agg(F.min(rank(3, F.col("i"), F.col("j"))).alias("rank"))
+        edges = edges.unionByName(more.join(edges.select("binary", "func", "src", "dst"), ["binary", "func", "src", "dst"], "left_anti"))
+    return nodes, edges
+
+
+def graph_documents(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("binary", "func"), attributes: Sequence[str] = (), weight: int = 0, key: str = "name") -> DataFrame:
     """keys, graph: one document for each small graph, with ids by rank and name.
 
-    nodes: keys, name, rank and attribute columns; edges: keys, src, dst, rank.
+    nodes: keys, name, rank and attribute columns; edges: keys, src, dst, rank, where the
+    ends are values of the nodes' `key`.
     """
     keys = list(keys)
-    n = nodes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "name", *attributes))).alias("n"))
+    n = nodes.withColumn("__key", F.col(key)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "name", "__key", *attributes))).alias("n"))
     e = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "src", "dst"))).alias("e"))
-    both = n.join(e, keys, "left").withColumn("names", F.transform("n", lambda x: x["name"]))
+    both = n.join(e, keys, "left").withColumn("names", F.transform("n", lambda x: x["__key"]))
     at = lambda x: (F.array_position("names", x) - 1).cast("int")
     listed = F.transform(F.coalesce("e", F.array().cast("array<struct<rank:array<int>,src:string,dst:string>>")), lambda x: F.struct(at(x["src"]).alias("src"), at(x["dst"]).alias("dst"), F.lit(weight).alias("weight")))
     node = lambda x, i: F.struct(i.cast("long").alias("id"), x["name"].alias("funcName"), *[x[a].alias(a) for a in attributes])

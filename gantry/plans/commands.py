@@ -31,16 +31,22 @@ def cfg_graphs(functions: DataFrame, feature: str, min_blocks: int = 5) -> DataF
     return graphs.attributed_cfg(with_arch(functions), feature, min_blocks)
 
 
-def call_graphs(entries: DataFrame, variant: str = "cg", include_unk: bool = False, meta: DataFrame | None = None, kind: str | None = None) -> DataFrame:
-    """binary, func, graph for each function; kind: finfo, tiknib or finfo-tiknib nodes from `meta`."""
-    called = graphs.calls(entries, include_unk)
-    edges = graphs.local_edges(called, variant, include_unk)
-    nodes = graphs.local_nodes(edges, entries)
+def call_graphs(entries: DataFrame, variant: str = "cg", include_unk: bool = False, meta: DataFrame | None = None, kind: str | None = None, strict: bool = False) -> DataFrame:
+    """binary, func, graph for each function; kind: finfo, tiknib or finfo-tiknib nodes from `meta`.
+
+    strict: repeated names are nodes of their own, as earlier tools built them.
+    """
+    if strict:
+        nodes, edges = graphs.strict_graph(entries, variant, include_unk)
+    else:
+        edges = graphs.local_edges(graphs.calls(entries, include_unk), variant, include_unk)
+        nodes = graphs.local_nodes(edges, entries)
+    key = "key" if strict else "name"
     if kind is None:
-        return graphs.graph_documents(nodes, edges)
+        return graphs.graph_documents(nodes, edges, key=key)
     columns, defaults, into = node_metadata(kind)
     described = graphs.attach(nodes, meta, columns, defaults, into=into)
-    return graphs.graph_documents(described, edges, attributes=[into])
+    return graphs.graph_documents(described, edges, attributes=[into], key=key)
 
 
 def node_metadata(kind: str) -> tuple[list[str], dict, str]:

@@ -257,6 +257,26 @@ def test_call_graphs(spark, folder):
     assert {r["func"] for r in some.collect()} == {"sym.a"}
 
 
+def test_strict_call_graphs(spark, folder):
+    entries = readers.read(spark, folder, "cg", recursive=True)
+    for variant in graphs.VARIANTS:  # without repeated names nothing differs but the place of nodes
+        for func in ("sym.b", "alone"):
+            plain, strict = (_graph(commands.call_graphs(entries, variant, strict=s).collect(), func) for s in (False, True))
+            assert sorted(plain[0]) == sorted(strict[0]) and plain[1] == strict[1]
+    rows = spark.createDataFrame([("p", 0, "f", ["g", "g", "f", "unk.1"]), ("p", 1, "g", ["f", "h", "h"]), ("p", 2, "unk.1", ["f"])], "binary string, func_idx int, name string, imports array<string>")
+    got = commands.call_graphs(rows, "onehopcgcallers", strict=True).collect()
+    g = next(r["graph"] for r in got if r["func"] == "f")
+    assert [n["funcName"] for n in g["nodes"]] == ["f", "g", "g", "f", "f", "g", "unk.1", "h"]
+    assert [[a["id"] for a in n] for n in g["adjacency"]] == [g_first(g), [7, 0], [], [], [0], [0], [], []]
+
+
+def g_first(g):
+    """The centre: its three imports, and, as its own callee's callee, edges to the first nodes of their names."""
+    own = [a["id"] for a in g["adjacency"][0]]
+    assert set(own) == {0, 1, 2, 3}
+    return own
+
+
 def test_node_metadata(spark, folder):
     entries, info = readers.read(spark, folder, "cg", recursive=True), readers.read(spark, folder, "finfo", recursive=True)
     rows = commands.call_graphs(entries, "cg", meta=commands.metadata_tables(info, "finfo"), kind="finfo").collect()
