@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 _U64 = np.uint64
 #: Text bytes handled at once by the numpy kernels.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +50,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    small_batches(df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     if Scratch.open:
@@ -100,6 +102,15 @@ def shown(col: str) -> Column:
     return F.nullif(F.col(col), F.lit(NO_ID).cast("long"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table; from now on its session hands Python at most `BATCH_BYTES` at once.
+
+    Whole texts can be long, and both the executor and its worker hold a batch.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def bucket(col: str, n: int) -> Column:
     """crc32 of the column as text, modulo n: the fold rule of the learned operators."""
     return F.crc32(F.col(col).cast("string")) % n

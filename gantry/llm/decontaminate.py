@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import distinct_rows, ident, shingles, text_slices, words
+from gantry.llm.common import distinct_rows, ident, shingles, small_batches, text_slices, words
 
 BLOCK_BYTES = 4 << 20
 _FILTER_BITS = 22
@@ -117,7 +117,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """doc_id, item_id, n_shared, n_shingles, containment: a row for each item in each document."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for block in _blocks(items, item_id, item_text, block_bytes):
         shared = spark.sparkContext.broadcast(block)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import cut, ident, shown
+from gantry.llm.common import cut, ident, shown, small_batches
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SLOTS, MAX_KICKS, FIRST_BUCKETS = 4, 200, 256
@@ -128,7 +128,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             sha = [hashlib.sha256(x.translate(None, WHITE)).digest() for x in col.cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sha, pa.binary()), pc.cast(pc.utf8_length(col), pa.int64())], ["doc_id", "sha", "cp"])
 
-    return docs.select(ident(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, sha binary, cp long")
+    return small_batches(docs).select(ident(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, sha binary, cp long")
 
 
 def index(changes: DataFrame, partitions: int) -> DataFrame:

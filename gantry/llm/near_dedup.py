@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import Scratch, constants, cut, distinct_rows, ident, mix64, shingles, shown, text_slices, word_sets, words
+from gantry.llm.common import Scratch, constants, cut, distinct_rows, ident, mix64, shingles, shown, small_batches, text_slices, word_sets, words
 
 BANDS, ROWS = 36, 5
 REGISTERS = BANDS * ROWS
@@ -126,7 +126,7 @@ def sketches(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text"
                         regs[r] = x.tobytes()
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(start, end - start), pa.array(size), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(regs, pa.binary())], ["doc_id", "n", "hi", "lo", "regs"])
 
-    return docs.select(ident(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, hi long, lo long, regs binary")
+    return small_batches(docs).select(ident(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, hi long, lo long, regs binary")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

@@ -24,11 +24,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gantry.llm.common import sha256_hex
+from gantry.llm.common import sha256_hex, small_batches
 
 MARK = "▁"
 #: The table is emptied beyond this many chunks (or characters in them), which bounds a worker's memory.
-TABLE_CHUNKS, TABLE_CHARS = 500_000, 16_000_000
+TABLE_CHUNKS, TABLE_CHARS = 200_000, 4_000_000
 _RUN = re.compile(" +[^ ]*")
 
 
@@ -100,18 +100,23 @@ def _table(model_file: str) -> ChunkTable:
 def _coded(texts: list[str | None], model_file: str) -> Iterator[tuple[str, int, str]]:
     """(ids, number of ids, decoded text) of each text, some megabytes at a time."""
     table = _table(model_file)
-    gc.disable()  # the table holds no cycles, and walking it again and again is slow
     start = 0
     while start < len(texts):
         end, size = start, 0
         while end < len(texts) and (end == start or size < 2_000_000):
             size += len(texts[end] or "")
             end += 1
-        parts = [table.chunks(t or "") for t in texts[start:end]]
-        table.learn(set().union(*parts))
-        for p in parts:
-            ids = table.encode(p)
-            yield ids, ids.count(",") + 1 if p else 0, table.decode(p)
+        gc.disable()  # the table holds no cycles, and walking it again and again is slow
+        try:
+            parts = [table.chunks(t or "") for t in texts[start:end]]
+            table.learn(set().union(*parts))
+            done = []
+            for p in parts:
+                ids = table.encode(p)
+                done.append((ids, ids.count(",") + 1 if p else 0, table.decode(p)))
+        finally:
+            gc.enable()
+        yield from done
         start = end
 
 
@@ -131,7 +136,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
                 ids = pc.cast(pc.if_else(pa.array([n == 0 for _, n, _ in rows], pa.bool_()), pa.scalar([], pa.list_(pa.string())), pc.split_pattern(pa.array([i for i, _, _ in rows], pa.string()), ",")), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([n for _, n, _ in rows], pa.int64()), ids, pa.array([d for _, _, d in rows], pa.string())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def decode(frame: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
@@ -145,7 +150,7 @@ def decode(frame: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
             texts = [sp.decode(x) if x else "" for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], schema.names)
 
-    return frame.mapInArrow(run, schema)
+    return small_batches(frame).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,4 +166,4 @@ def digests(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str
                 right.append(sha256_hex(back.encode()))
             yield pa.RecordBatch.from_arrays([b.column(doc_id), pa.array(counts, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], schema.names)
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return small_batches(docs).select(doc_id, text).mapInArrow(run, schema)

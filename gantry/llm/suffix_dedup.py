@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import Scratch, cut, ident, mix64, prefix_hash, range_hash, shown, text_slices
+from gantry.llm.common import Scratch, cut, ident, mix64, prefix_hash, range_hash, shown, small_batches, text_slices
 
 WINDOW, GRAM = 200, 32
 #: Bytes of contexts sorted together, and contexts of a group beyond which windows are counted by hash.
@@ -130,7 +130,7 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                         ["doc_id", "th", "f", "h", "n", "lo", "hi", "at"],
                     )
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -375,7 +375,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     joined = rows.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
-    out = joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
+    out = small_batches(joined).mapInArrow(run, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
     return out.withColumn("doc_id", shown("doc_id"))
 
 

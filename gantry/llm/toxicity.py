@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import bucket, cut, ident, prefix_hash, range_hash, text_slices
+from gantry.llm.common import bucket, cut, ident, prefix_hash, range_hash, small_batches, text_slices
 
 MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK, FIRST_BLOCKS = 8_000, 4_096, 15, 64, 4
 GRAM, LEAST_DOCS, LEAST_RATIO = 6, 4, 28.0
@@ -316,7 +316,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 evidence.append(memo[key][1])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, near)], ["doc_id", "score", "evidence"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, score double, evidence array<struct<doc_id:long,cosine:double>>")
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, score double, evidence array<struct<doc_id:long,cosine:double>>")
 
 
 def score_all(docs: DataFrame, labels: DataFrame) -> DataFrame:
