@@ -112,8 +112,8 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def bucket(col: str, n: int) -> Column:
-    """crc32 of the column as text, modulo n: the fold rule of the learned operators."""
-    return F.crc32(F.col(col).cast("string")) % n
+    """crc32 of the column as text (null: empty), modulo n: the fold rule of the learned operators."""
+    return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % n
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -31,6 +31,8 @@ from gantry.llm.common import cut, ident, shown, small_batches
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SLOTS, MAX_KICKS, FIRST_BUCKETS = 4, 200, 256
+#: Rows for each index partition, which bounds an index's memory at any size of the table.
+PARTITION_ROWS = 250_000
 
 
 class CuckooIndex:
@@ -166,8 +168,8 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
 
 def find_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(digests(docs, doc_id, text), "digests")
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / PARTITION_ROWS))
     live = index(rows.withColumn("n", F.lit(1).cast("long")), partitions)
     return rows.join(live, "sha").select(shown("doc_id").alias("doc_id"), shown("keep_id").alias("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
