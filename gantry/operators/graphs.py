@@ -18,6 +18,11 @@ from gantry.operators import blocks as B
 VARIANTS = {"cg": (), "onehopcg": ("hop",), "cgcallers": ("callers",), "onehopcgcallers": ("callers", "hop")}
 
 
+def _once(value: Column, body) -> Column:
+    """`body` of a value that is computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # control flow
 
 
@@ -27,17 +32,19 @@ def cfg_edges(blocks: Column) -> Column:
     Ends are positions of the first block with that offset; targets outside the function
     and switch cases give no edge.
     """
-    offsets = F.transform(blocks, lambda b: b["offset"])
 
-    def of(b: Column) -> Column:
-        src = F.array_position(offsets, b["offset"]) - 1
+    def edges(offsets: Column) -> Column:
+        def of(b: Column) -> Column:
+            src = F.array_position(offsets, b["offset"]) - 1
+
+            def edge(target: Column) -> Column:
+                return F.struct(src.cast("int").alias("src"), (F.array_position(offsets, target) - 1).cast("int").alias("dst"), F.lit(1).alias("weight"), (target != -1).alias("there"))
 
-        def edge(target: Column) -> Column:
-            return F.struct(src.cast("int").alias("src"), (F.array_position(offsets, target) - 1).cast("int").alias("dst"), F.lit(1).alias("weight"), (target != -1).alias("there"))
+            return F.filter(F.array(edge(b["jump"]), edge(b["fail"])), lambda e: e["there"] & (e["dst"] >= 0))
 
-        return F.filter(F.array(edge(b["jump"]), edge(b["fail"])), lambda e: e["there"] & (e["dst"] >= 0))
+        return F.transform(F.flatten(F.transform(blocks, of)), lambda e: F.struct(e["src"], e["dst"], e["weight"]))
 
-    return F.transform(F.flatten(F.transform(blocks, of)), lambda e: F.struct(e["src"], e["dst"], e["weight"]))
+    return _once(F.transform(blocks, lambda b: b["offset"]), edges)
 
 
 def node_count(edges: Column) -> Column:
@@ -48,9 +55,9 @@ def node_count(edges: Column) -> Column:
 
 def adjacency(n: Column, edges: Column) -> Column:
     """For nodes 0 to n-1 the neighbours (id, weight), last inserted first."""
-    own = lambda i: F.filter(edges, lambda e: e["src"] == i)
     nodes = F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.transform(nodes, lambda i: F.reverse(F.transform(own(i), lambda e: F.struct(e["dst"].cast("long").alias("id"), e["weight"].cast("long").alias("weight")))))
+    own = lambda es, i: F.transform(F.filter(es, lambda e: e["src"] == i), lambda e: F.struct(e["dst"].cast("long").alias("id"), e["weight"].cast("long").alias("weight")))
+    return _once(edges, lambda es: F.transform(nodes, lambda i: F.reverse(own(es, i))))
 
 
 def document(adjacent: Column, nodes: Column) -> Column:
@@ -94,19 +101,25 @@ def pcode_graph(pcode_blocks: Column) -> Column:
     Nodes are addresses by first appearance; a target outside the function is a node
     without p-code. A single block gives one node and no edge.
     """
-    info = lambda b: b["bb_info"]
-    single = F.size(pcode_blocks) == 1
-    seen = F.flatten(F.transform(pcode_blocks, lambda b: F.array(b["block_start_adr"], info(b)["fail"], info(b)["jump"])))
-    starts = F.transform(pcode_blocks, lambda b: b["block_start_adr"])
-    addresses = F.array_distinct(F.filter(F.when(single, starts).otherwise(seen), lambda a: a.isNotNull()))
+    return _once(pcode_blocks, lambda blocks: _once(_pcode_addresses(blocks), lambda addresses: _pcode_document(blocks, addresses)))
+
+
+def _pcode_addresses(blocks: Column) -> Column:
+    seen = F.flatten(F.transform(blocks, lambda b: F.array(b["block_start_adr"], b["bb_info"]["fail"], b["bb_info"]["jump"])))
+    starts = F.transform(blocks, lambda b: b["block_start_adr"])
+    return F.array_distinct(F.filter(F.when(F.size(blocks) == 1, starts).otherwise(seen), lambda a: a.isNotNull()))
+
+
+def _pcode_document(blocks: Column, addresses: Column) -> Column:
     at = lambda a: (F.array_position(addresses, a) - 1).cast("int")
 
     def of(b: Column) -> Column:
         edge = lambda target, w: F.struct(at(b["block_start_adr"]).alias("src"), at(target).alias("dst"), F.lit(w).alias("weight"), target.isNotNull().alias("there"))
-        return F.filter(F.array(edge(info(b)["fail"], 0), edge(info(b)["jump"], 1)), lambda e: e["there"])
+        return F.filter(F.array(edge(b["bb_info"]["fail"], 0), edge(b["bb_info"]["jump"], 1)), lambda e: e["there"])
 
-    edges = F.when(single, F.array().cast("array<struct<src:int,dst:int,weight:int>>")).otherwise(F.transform(F.flatten(F.transform(pcode_blocks, of)), lambda e: F.struct(e["src"], e["dst"], e["weight"])))
-    own = lambda a: F.get(F.filter(pcode_blocks, lambda b: b["block_start_adr"] == a), F.lit(0))
+    edges = F.transform(F.flatten(F.transform(blocks, of)), lambda e: F.struct(e["src"], e["dst"], e["weight"]))
+    edges = F.when(F.size(blocks) == 1, F.array().cast("array<struct<src:int,dst:int,weight:int>>")).otherwise(edges)
+    own = lambda a: F.get(F.filter(blocks, lambda b: b["block_start_adr"] == a), F.lit(0))
     nodes = F.transform(addresses, lambda a, i: F.struct(i.cast("long").alias("id"), a.alias("start_addr"), own(a)["pcode"].alias("pcode")))
     return document(adjacency(F.size(addresses), edges), nodes)
 
