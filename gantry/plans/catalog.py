@@ -2,7 +2,8 @@
 
 The tables hold no binaries, so conversations stand in for functions and blocks, order
 lines for instructions and calls, documents for function strings, parts for metadata.
-Every query covers its whole tables.
+Queries cover their whole tables, but for the eleven of call graphs: their SQL reads the lines
+returned only. The same queries with _all read every line.
 """
 
 from __future__ import annotations
