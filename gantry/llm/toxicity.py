@@ -3,7 +3,9 @@
 1. Terms are the words of a lower-cased text and the 6-byte strings within its words.
    Those that mark label 1 more often than chance explains (by likelihood ratio) are
    the vector space, at most `max_terms` of them; their document frequencies are
-   counted over all documents.
+   counted over all documents. The ratio's bar is where `CHANCE` of the terms tested
+   would pass by chance, `MOST_RATIO` at most, so it falls with the examples. If no term
+   passes, the terms of the largest ratio are taken.
 2. Labelled examples are a bounded sample, `max_examples` at most, drawn by a hash of
    the id and half from either label where there are enough; votes are weighted by the
    share of a label's rows that was drawn, so that the sample's balance does not count.
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from gantry.llm.common import bucket, cut, ident, prefix_hash, range_hash, small_batches, text_slices
 
 MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK, FIRST_BLOCKS = 8_000, 4_096, 15, 64, 4
-GRAM, LEAST_DOCS, LEAST_RATIO = 6, 4, 28.0
+GRAM, LEAST_DOCS, MOST_RATIO, CHANCE = 6, 4, 28.0, 0.1
 _FILTER_BITS = 20
 _PLAIN = np.zeros(256, bool)
 _PLAIN[48:58] = _PLAIN[97:123] = _PLAIN[128:] = True  # digits, letters, and bytes of other letters
@@ -221,6 +224,11 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_ready"}
 
 
+def least_ratio(tested: int) -> float:
+    """The likelihood ratio (chi-squared with one degree of freedom) that CHANCE of so many terms reach, label 1 the likelier, by chance."""
+    return min(MOST_RATIO, NormalDist().inv_cdf(1 - CHANCE / 2 / max(1, tested)) ** 2)
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, neighbours: int = NEIGHBOURS) -> Model:
     """A model of the labels given; document frequencies are of all `docs`."""
     spark = docs.sparkSession
@@ -247,15 +255,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
                 yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(n), pa.array(np.add.reduceat(yes, first) if len(first) else n)], ["t", "n", "yes"])
 
     n_yes, n_no = sum(y for _, y in drawn), sum(1 - y for _, y in drawn)
-    counted = examples.mapInArrow(marks, "t long, n long, yes long").groupBy("t").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes")).filter(F.col("n") >= LEAST_DOCS)
+    counted = examples.mapInArrow(marks, "t long, n long, yes long").groupBy("t").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes"))
     # likelihood ratio of the term's counts under two rates against one
     seen, share = F.col("n"), F.col("n") / (n_yes + n_no)
     part = lambda k, want: F.when(k > 0, k * F.log(k / F.greatest(want, F.lit(1e-9)))).otherwise(0.0)
     a, b = F.col("yes"), seen - F.col("yes")
     ratio = 2 * (part(a, n_yes * share) + part(b, n_no * share) + part(n_yes - a, n_yes * (1 - share)) + part(n_no - b, n_no * (1 - share)))
-    marking = counted.filter(a * n_no > b * n_yes).withColumn("g", ratio).filter(F.col("g") >= LEAST_RATIO).orderBy(F.desc("g"), "t").limit(max_terms).select("t").collect()
-    if not marking:
-        return empty
+    tested = cut(counted.filter(F.col("n") >= LEAST_DOCS), "terms")
+    ranked = lambda terms: terms.filter(a * n_no > b * n_yes).withColumn("g", ratio).orderBy(F.desc("g"), "t").limit(max_terms)
+    marking = ranked(tested).filter(F.col("g") >= least_ratio(tested.count())).select("t").collect()
+    for terms in (tested, counted):
+        if not marking:
+            rest = ranked(terms).collect()
+            marking = [r for r in rest if r["g"] == rest[0]["g"]]
     hashes = np.sort(np.array([r["t"] for r in marking], np.int64).view(np.uint64)).view(np.int64).tolist()
 
     # document frequencies of the terms, over all documents
@@ -277,6 +289,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
             yield pa.RecordBatch.from_arrays([b.column("i"), b.column("y"), pa.array([t for t, _ in out], pa.list_(pa.int64())), pa.array([w for _, w in out], pa.list_(pa.float64()))], ["i", "y", "terms", "weights"])
 
     rows = examples.mapInArrow(vectors, "i long, y int, terms array<long>, weights array<double>").orderBy("i").collect()
+    if len({r["y"] for r in rows}) < 2:  # labels of one kind belong to no document
+        return empty
     model = Model(hashes, idf, [(r["i"], r["terms"], r["weights"], r["y"], stands[r["y"]]) for r in rows], None, neighbours)
     shared = spark.sparkContext.broadcast(model)
 

@@ -56,6 +56,23 @@ def test_toxicity_evidence_and_ties(spark):
     assert got[105]["score"] > 0.9 > 0.1 > got[5]["score"] and all(e["doc_id"] >= 100 for e in got[105]["evidence"]) and len(got[105]["evidence"]) == 15
 
 
+def test_toxicity_of_few_labels(spark):
+    """Ten toxic examples, four with the marking word, against 58 clean ones; and two of each."""
+    docs = spark.createDataFrame([(i, f"plain story {'abcdefghij'[i % 10]} goes on") for i in range(58)] + [(100 + i, "story of one moron again" if i < 4 else f"plain story {'abcdefghij'[i]}") for i in range(10)] + [(200, "what moron"), (201, "plain story z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(58)] + [(100 + i, 1) for i in range(10)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
+    assert got[200] > 0.5 > got[201] > 0
+    tiny = labels.filter("doc_id in (1, 2, 100, 101)")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.learn(docs, tiny)).collect()}
+    assert got[200] > got[201] > 0
+
+
+def test_toxicity_of_labels_without_documents(spark):
+    docs = spark.createDataFrame([(1, "plain"), (2, "story")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (50, 1)], "doc_id long, toxic int")
+    assert {r["score"] for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()} == {0.0}
+
+
 def test_quality_held_out(spark):
     rows = queries.op9_quality(spark, SF).join(table(spark, SF, "labels"), "doc_id").filter("held_out").collect()
     assert sum(r["kept"] == bool(r["quality"]) for r in rows) / len(rows) > 0.9
