@@ -1,8 +1,8 @@
 """Byte-level BPE vocabularies: distributed pre-token counts, then the merge loop on counts.
 
 Counting is relational and covers every row. The merge loop is sequential by nature and
-runs on the driver over distinct pre-tokens, of which at most `max_words` are taken, the
-most frequent first; that bound is a parameter.
+runs on the driver over all distinct pre-tokens. If they are more than `max_words`, that is an
+error rather than a vocabulary of some of them.
 """
 
 from __future__ import annotations
@@ -97,8 +97,10 @@ def merge_rules(counts: dict[str, int], size: int) -> tuple[dict[str, int], list
 def learn(rows: DataFrame, size: int = 10_000, text: str = "text", kind: str = "byte-bpe", max_words: int = MAX_WORDS) -> tuple[dict[str, int], list[tuple[str, str]]]:
     if kind != "byte-bpe":
         raise ValueError(f"tokeniser type {kind!r} is not supported: byte-bpe is")
-    top = pretoken_counts(rows, text).orderBy(F.desc("n"), "token").limit(max_words).collect()
-    return merge_rules({r["token"]: r["n"] for r in top}, size)
+    words = pretoken_counts(rows, text).limit(max_words + 1).collect()
+    if len(words) > max_words:
+        raise ValueError(f"more than {max_words} distinct pre-tokens: raise max_words")
+    return merge_rules({r["token"]: r["n"] for r in words}, size)
 
 
 def save(vocabulary: dict[str, int], merges: list[tuple[str, str]], path: str) -> None:

@@ -381,6 +381,14 @@ def test_tokeniser(spark, tmp_path):
         tokeniser.learn(rows, kind="comma-bpe")
 
 
+def test_tokeniser_refuses_part_of_the_pretokens(spark):
+    rows = spark.createDataFrame([("low low low",), ("new é",)], "text string")
+    vocabulary, _ = tokeniser.learn(rows, 24, max_words=3)
+    assert {tokeniser.byte_alphabet()[b] for b in " lownewé".encode()} <= set(vocabulary)
+    with pytest.raises(ValueError):
+        tokeniser.learn(rows, 24, max_words=2)
+
+
 def test_plans_stay_in_the_jvm(functions):
     for df in (commands.cfg_graphs(functions, "tiknib"), commands.nlp(functions, "esil", "funcstring", registers=True), metadata.tiknib_functions(commands.with_arch(functions))):
         assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
