@@ -134,8 +134,8 @@ def bpe_pretoken_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bpe_vocab(spark: SparkSession, d: str) -> DataFrame:
-    """A vocabulary of 600 from the benchmark's texts."""
-    vocabulary, _ = tokeniser.learn(_table(spark, d, "benchmark"), 600)
+    """The vocabulary of the documents' texts, of the default size."""
+    vocabulary, _ = tokeniser.learn(_table(spark, d, "documents"))
     return spark.createDataFrame(sorted(vocabulary.items(), key=lambda x: x[1]), "token string, id int")
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from gantry.operators import tokeniser
 from gantry.plans.catalog import QUERIES
 
 
@@ -51,3 +52,36 @@ def test_all_lines_other_graphs(spark, orders):
     nodes = {(g, x, x) for g, x in parts} | {(g, a, x) for g, a, b in known for x in (a, b)} | {(g, b, x) for g, a, b in known if not a.startswith("unk.") for x in (a, b)}
     assert Counter((r["program"], r["func"], r["name"]) for r in run("local_cg_nodes")) == Counter(nodes)
     assert {(r["program"], r["func"]): r["n_edges"] for r in run("local_cg_documents")} == {(g, x): sum(c[:2] == (g, x) for c in calls) for g, x in parts}
+
+
+def brute_merges(counts: dict[str, int], size: int) -> dict[str, int]:
+    """The vocabulary, with all pairs counted anew for each merge."""
+    letters = tokeniser.byte_alphabet()
+    words = [([letters[b] for b in w.encode()], n) for w, n in counts.items()]
+    ids = {t: i for i, t in enumerate((*tokeniser.SPECIAL, *sorted({c for w, _ in words for c in w})))}
+    while len(ids) < size:
+        pairs = Counter()
+        for w, n in words:
+            for p in zip(w, w[1:]):
+                pairs[p] += n
+        if not pairs:
+            break
+        a, b = min(pairs, key=lambda p: (-pairs[p], ids[p[0]], ids[p[1]]))
+        ids.setdefault(a + b, len(ids))
+        for w, _ in words:
+            i = 0
+            while i + 1 < len(w):
+                if (w[i], w[i + 1]) == (a, b):
+                    w[i : i + 2] = [a + b]
+                i += 1
+    return ids
+
+
+def test_bpe_vocab_reads_documents(spark, tmp_path):
+    text = "banana bandana aaaa aaaaa naïve 2024 20 ban; new newer newest banana"
+    spark.createDataFrame([(1, text), (2, "newest bandana xyxyxy"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "qqq qqq")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    counts = {r["token"]: r["n"] for r in tokeniser.pretoken_counts(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    got = {r["token"]: r["id"] for r in QUERIES["bpe_vocab"](spark, str(tmp_path)).collect()}
+    assert got == brute_merges(counts, 10_000) and "q" not in got
+    assert tokeniser.merge_rules(counts, 40)[0] == brute_merges(counts, 40)
