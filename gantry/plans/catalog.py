@@ -2,8 +2,9 @@
 
 The tables hold no binaries, so conversations stand in for functions and blocks, order
 lines for instructions and calls, documents for function strings, parts for metadata.
-Queries cover their whole tables, but for the eleven of call graphs: their SQL reads the lines
-returned only. The same queries with _all read every line.
+Queries cover their whole tables, but for the eleven of call graphs, whose SQL reads the lines
+returned only, and files_sorted, whose SQL gives ten pages. The same queries with _all cover
+the whole tables.
 """
 
 from __future__ import annotations

@@ -146,6 +146,11 @@ def files_sorted(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", "url").orderBy("url", "page_id").limit(10)
 
 
+def files_sorted_all(spark: SparkSession, d: str) -> DataFrame:
+    """All pages by path: the whole sorted file list."""
+    return _table(spark, d, "pages").select("page_id", "url").orderBy("url", "page_id")
+
+
 def map_explode(spark: SparkSession, d: str) -> DataFrame:
     e = _table(spark, d, "events").select("event_id", F.from_json("props", "map<string,bigint>").alias("m"))
     return e.select("event_id", F.explode("m").alias("name", "value"))
@@ -178,7 +183,7 @@ def instruction_stats(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("reads"), F.count_if(F.col("l_returnflag") != "R").alias("writes"), F.count_distinct("l_partkey").alias("sites"))
 
 
-QUERIES = {f.__name__: f for f in (block_class_counts, overlapping_counts, function_avg_sum, offspring, arch_detect, finfo_subset, finfo_extended, combo_zip, node_features, dedup_by_program, dedup_value_only, dedup_stats, dedup_graph, dedup_removed, program_names, shortened_names, path_parts, files_sorted, map_explode, json_field, json_repair, hex_decode, mean_pool, instruction_stats)}
+QUERIES = {f.__name__: f for f in (block_class_counts, overlapping_counts, function_avg_sum, offspring, arch_detect, finfo_subset, finfo_extended, combo_zip, node_features, dedup_by_program, dedup_value_only, dedup_stats, dedup_graph, dedup_removed, program_names, shortened_names, path_parts, files_sorted, files_sorted_all, map_explode, json_field, json_repair, hex_decode, mean_pool, instruction_stats)}
 
 
 def _listed(words: list[str]) -> str:

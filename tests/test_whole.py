@@ -85,3 +85,10 @@ def test_bpe_vocab_reads_documents(spark, tmp_path):
     got = {r["token"]: r["id"] for r in QUERIES["bpe_vocab"](spark, str(tmp_path)).collect()}
     assert got == brute_merges(counts, 10_000) and "q" not in got
     assert tokeniser.merge_rules(counts, 40)[0] == brute_merges(counts, 40)
+
+
+def test_files_sorted_all(spark, tmp_path):
+    pages = [(i, f"http://h/{(i * 7) % 10}") for i in range(25)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r["page_id"], r["url"]) for r in QUERIES["files_sorted_all"](spark, str(tmp_path)).collect()]
+    assert got == sorted(pages, key=lambda p: (p[1], p[0]))
