@@ -6,16 +6,20 @@ task computes the same values.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _U64 = np.uint64
 #: Text bytes handled at once by the numpy kernels.
@@ -46,47 +50,97 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there.
 
-    A lost executor costs no recomputation of what lies before the cut.
+    A lost executor costs no recomputation of what lies before the cut. An open `Scratch`
+    of this thread deletes the table; without one it stays for as long as its result may
+    be read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    small_batches(df).write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
-    if Scratch.open:
-        Scratch.open[-1].made.append(path)
+    if Scratch.open():
+        Scratch.open()[-1].made.append(path)
     return out
 
 
 class Scratch:
     """Deletes the tables that `cut` makes while it is open, but for those it is told to keep.
 
+    Open scopes are a thread's own, so queries in several threads don't touch each other's.
+
     with Scratch(spark) as s:
         out = s.keep(cut(...))
     """
 
-    open: list[Scratch] = []
+    _here = threading.local()
 
     def __init__(self, spark: SparkSession):
         self.spark, self.made = spark, []
 
+    @classmethod
+    def open(cls) -> list[Scratch]:
+        if not hasattr(cls._here, "scopes"):
+            cls._here.scopes = []
+        return cls._here.scopes
+
     def __enter__(self) -> Scratch:
-        Scratch.open.append(self)
+        Scratch.open().append(self)
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
         """A table made by `cut` that outlives this scope; a scope around it takes it over."""
         self.made.remove(df.cut_path)
-        outer = Scratch.open[: Scratch.open.index(self)]
+        outer = Scratch.open()[: Scratch.open().index(self)]
         if outer:
             outer[-1].made.append(df.cut_path)
         return df
 
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this scope that nothing reads any more."""
+        for df in tables:
+            self.made.remove(df.cut_path)
+            self.delete(df)
+
+    def delete(self, df: DataFrame) -> None:
+        self._delete(df.cut_path)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def __exit__(self, *error: object) -> None:
-        Scratch.open.remove(self)
+        Scratch.open().remove(self)
         for name in self.made:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(name)
+
+
+#: Rows whose keys may be broadcast, some 30 bytes each; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: What names a row: a hash of its file's path, and its place there.
+ROW = ("__gantry_file", "__gantry_row")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with two more columns (`ROW`) that name each row, the same ones in every scan.
+
+    Ids may be missing or repeated, so decisions about rows can't be applied by them. A
+    table that isn't a plain scan of Parquet files is written to the shared folder first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.nodeName().split(" ")[0] != "LogicalRelation" and plan.getClass().getSimpleName() != "LogicalRelation" or not all(f.endswith(".parquet") for f in docs.inputFiles()):
+        docs = cut(docs, "rows")
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of a `keyed` table, without their keys, that aren't in `gone` (a written table of keys).
+
+    Few enough keys are broadcast, so that texts stay where they are.
+    """
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone.select(*ROW), list(ROW), "left_anti").drop(*ROW)
 
 
 NO_ID = (1 << 63) - 1
@@ -102,13 +156,46 @@ def shown(col: str) -> Column:
     return F.nullif(F.col(col), F.lit(NO_ID).cast("long"))
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """The same table; from now on its session hands Python at most `BATCH_BYTES` at once.
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the system: its worker lives on for other stages."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """`mapInArrow`, in pieces of at most `BATCH_BYTES` (or one row), whose worker is tidied after each task.
 
-    Whole texts can be long, and both the executor and its worker hold a batch.
+    Whole texts can be long, and a batch is held by the executor and its worker. So a
+    session that hands Python larger batches is set to this size, which no result depends on.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(setting, None) != str(BATCH_BYTES):
+        df.sparkSession.conf.set(setting, BATCH_BYTES)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = max(1, -(-b.nbytes // BATCH_BYTES))
+            step = max(1, -(-b.num_rows // n))
+            for i in range(0, b.num_rows, step):
+                yield b.slice(i, step)
+
+    def run_tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(pieces(batches))
+        finally:
+            tidy()
+
+    return df.mapInArrow(run_tidy, schema)
 
 
 def bucket(col: str, n: int) -> Column:

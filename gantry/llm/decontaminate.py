@@ -12,15 +12,19 @@ is then verified by the exact share of the item's shingles.
 30-shingle item and a 10,000-shingle document is 0.003, and 256 one-row bands would
 find it in half of the cases. So the document side is probed with all its shingles.)
 
-Items reach the tasks in blocks whose texts take at most `block_bytes`, one scan of the
-documents for each block, so that what is broadcast has a fixed bound at any size of
-the benchmark; the documents are never shuffled.
+Items reach the tasks in blocks whose texts take about `block_bytes`, so that the driver
+and a worker hold one block's index at a time at any size of the benchmark. There is one
+scan of the documents: each worker takes some megabytes of texts and passes all blocks over
+them. Documents are never shuffled, and `remove_leaks` lets rows through where they lie.
 
 Words are runs of characters other than `[\\x20\\x09-\\x0D]` with A-Z lower-cased;
 shingles are `k` consecutive words, or the whole sequence where an item has fewer, which
 then needs a document to contain that sequence of words. Defined results: null and empty
-items match nothing; null and empty documents hold nothing; repeated rows and items are
-each reported; rows with a null id are one document to `remove_leaks`; empty tables give empty results; other columns are not read.
+items match nothing; null and empty documents hold nothing; repeated documents are each
+reported, an item that is repeated with its id once; texts and items of any length are
+searched whole, and an item beyond `block_bytes` is a block of its own; rows are judged one
+by one, whatever their ids; there are no ties; empty tables give empty results; other
+columns are not read, and kept by `remove_leaks`.
 """
 
 from __future__ import annotations
@@ -35,9 +39,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import distinct_rows, ident, shingles, small_batches, text_slices, words
+from gantry.llm.common import Scratch, cut, distinct_rows, mapped, shingles, text_slices, words
 
 BLOCK_BYTES = 4 << 20
+#: Texts that a worker holds while the blocks pass over them.
+HELD_BYTES = 32 << 20
 _FILTER_BITS = 22
 
 
@@ -104,40 +110,83 @@ class ItemIndex:
                         yield r, j, shared
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in lists whose texts take about block_bytes each, one at a time."""
-    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).filter("t is not null")
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    for b in range(n if total else 0):
-        yield [(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()]
+def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items in lists whose texts take about block_bytes each; the driver holds one list and one partition at a time."""
+    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).filter("t is not null").distinct()
+    with Scratch(items.sparkSession):
+        held = cut(rows, "items")
+        block: list[tuple[int, str]] = []
+        size = 0
+        for r in held.toLocalIterator():
+            block.append((r["i"], r["t"]))
+            size += len(r["t"].encode())
+            if size >= block_bytes:
+                yield block
+                block, size = [], 0
+        if block:
+            yield block
+
+
+class Search:
+    """Finds the items of all blocks in batches of texts. Blocks are broadcast one by one."""
+
+    def __init__(self, items: DataFrame, item_id: str, item_text: str, k: int, threshold: float, block_bytes: int):
+        context = items.sparkSession.sparkContext
+        self.blocks = [context.broadcast(b) for b in _blocks(items, item_id, item_text, block_bytes)]
+        self.k, self.threshold = k, threshold
+
+    def groups(self, batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        """Batches in groups of a bounded size; with one block each batch is a group."""
+        group: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            group.append(b)
+            size += b.nbytes
+            if len(self.blocks) < 2 or size >= HELD_BYTES:
+                yield group
+                group, size = [], 0
+        if group:
+            yield group
+
+    def run(self, batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, int, int]]]]:
+        """Each batch, and what its texts (the column at `place`) hold: (row, item, shared and all shingles of the item)."""
+        index = None
+        for group in self.groups(batches):
+            found: list[list] = [[] for _ in group]
+            for block in self.blocks:
+                if index is None or len(self.blocks) > 1:
+                    index = ItemIndex(block.value, self.k, self.threshold)
+                    if len(self.blocks) > 1:
+                        block.__dict__.pop("_value", None)  # read again from the executor's disk
+                for out, b in zip(found, group):
+                    only = pa.RecordBatch.from_arrays([b.column(place)], ["text"])
+                    out += [(a + r, index.ids[j], n, len(index.sets[j])) for a, _, raw, off in text_slices(only, "text") for r, j, n in index.search(raw, off)]
+            yield from zip(group, found)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment: a row for each item in each document."""
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
-    source = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = None
-    for block in _blocks(items, item_id, item_text, block_bytes):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, k, threshold)
-            for b in batches:
-                ids = b.column("doc_id").to_pylist()
-                found = [(ids[a + r], index.ids[j], n, len(index.sets[j])) for a, _, raw, off in text_slices(b, "text") for r, j, n in index.search(raw, off)]
-                cols = [pa.array(x, pa.int64()) for x in (zip(*found) if found else ([], [], [], []))]
-                share = pc.divide(cols[2].cast(pa.float64()), cols[3].cast(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*cols, share], ["doc_id", "item_id", "n_shared", "n_shingles", "containment"])
-
-        part = source.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
-
-
-def remove_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    search = Search(items, item_id, item_text, k, threshold, block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in search.run(batches, 1):
+            rows = np.array([r for r, _, _, _ in found], np.int64)
+            cols = [pa.array(x, pa.int64()) for x in (list(zip(*found))[1:] if found else ([], [], []))]
+            share = pc.divide(cols[1].cast(pa.float64()), cols[2].cast(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), *cols, share], ["doc_id", "item_id", "n_shared", "n_shingles", "containment"])
+
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return mapped(source, run, "doc_id long, item_id long, n_shared long, n_shingles long, containment double")
+
+
+def remove_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs` that hold no test item, with all their columns."""
-    leaked = find_leaks(docs, items, **options).select(ident("doc_id").alias("__leaked")).distinct()
-    key = options.get("doc_id", "doc_id")
-    return docs.join(leaked, ident(docs[key]) == F.col("__leaked"), "left_anti")
+    search, place = Search(items, item_id, item_text, k, threshold, block_bytes), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in search.run(batches, place):
+            clean = np.ones(b.num_rows, bool)
+            clean[[r for r, _, _, _ in found]] = False
+            yield b.filter(pa.array(clean))
+
+    return mapped(docs, run, docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gantry.llm.common import bucket, small_batches
+from gantry.llm.common import bucket, mapped
 
 SIZE, MAX_LANGUAGES = 300, 512
 #: Code points below this are told apart, others are folded onto as many codes.
@@ -134,8 +134,8 @@ def gram_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> Data
                         yield from flush()
         yield from flush()
 
-    rows = small_batches(docs).filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    parts = rows.mapInArrow(run, "lang string, gram long, n long")
+    rows = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    parts = mapped(rows, run, "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -205,7 +205,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], doc_id: str = "doc_
             names, scores = known.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, lang_pred string, score double")
+    return mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import bucket, cut, prefix_hash, range_hash, small_batches, text_slices, words
+from gantry.llm.common import bucket, cut, prefix_hash, range_hash, mapped, text_slices, words
 
 MAX_EXAMPLES, DIMS, STEPS, RIDGE = 4_000, 1 << 14, 150, 2e-5
 
@@ -120,7 +120,7 @@ def learn(docs: DataFrame, labels: DataFrame, grade: str = "quality", doc_id: st
             found = list(features(b.select(["text"]), dims))
             yield pa.RecordBatch.from_arrays([b.column("i"), b.column("y"), pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], ["i", "y", "at", "value"])
 
-    examples = source.join(F.broadcast(chosen), "i").mapInArrow(run, "i long, y int, at binary, value binary")
+    examples = mapped(source.join(F.broadcast(chosen), "i"), run, "i long, y int, at binary, value binary")
     held = sorted(cut(examples, "rated").dropDuplicates(["i"]).collect(), key=lambda r: r["i"])
     index = np.frombuffer(b"".join(r["at"] for r in held), np.int32)
     value = np.frombuffer(b"".join(r["value"] for r in held), np.float32)
@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", text: st
                 expected, tail = pa.nulls(n, pa.float64()), np.zeros(n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), expected, pa.array(tail), pc.greater_equal(pa.array(tail), threshold)], ["doc_id", "expected_grade", "tail_probability", "kept"])
 
-    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, expected_grade double, tail_probability double, kept boolean")
+    return mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, expected_grade double, tail_probability double, kept boolean")
 
 
 def grade_all(docs: DataFrame, labels: DataFrame) -> DataFrame:

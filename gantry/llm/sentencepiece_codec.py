@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gantry.llm.common import sha256_hex, small_batches
+from gantry.llm.common import sha256_hex, mapped
 
 MARK = "▁"
 #: The table is emptied beyond this many chunks (or characters in them), which bounds a worker's memory.
@@ -136,7 +136,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
                 ids = pc.cast(pc.if_else(pa.array([n == 0 for _, n, _ in rows], pa.bool_()), pa.scalar([], pa.list_(pa.string())), pc.split_pattern(pa.array([i for i, _, _ in rows], pa.string()), ",")), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([n for _, n, _ in rows], pa.int64()), ids, pa.array([d for _, _, d in rows], pa.string())], schema.names)
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def decode(frame: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
@@ -150,7 +150,7 @@ def decode(frame: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
             texts = [sp.decode(x) if x else "" for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], schema.names)
 
-    return small_batches(frame).mapInArrow(run, schema)
+    return mapped(frame, run, schema)
 
 
 def digests(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,4 +166,4 @@ def digests(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str
                 right.append(sha256_hex(back.encode()))
             yield pa.RecordBatch.from_arrays([b.column(doc_id), pa.array(counts, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], schema.names)
 
-    return small_batches(docs).select(doc_id, text).mapInArrow(run, schema)
+    return mapped(docs.select(doc_id, text), run, schema)

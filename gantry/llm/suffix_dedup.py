@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import Scratch, cut, ident, mix64, prefix_hash, range_hash, shown, small_batches, text_slices
+from gantry.llm.common import Scratch, cut, ident, mix64, prefix_hash, range_hash, shown, mapped, text_slices
 
 WINDOW, GRAM = 200, 32
 #: Bytes of contexts sorted together, and contexts of a group beyond which windows are counted by hash.
@@ -130,7 +130,7 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                         ["doc_id", "th", "f", "h", "n", "lo", "hi", "at"],
                     )
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -275,7 +275,7 @@ def contexts(found: DataFrame, window: int, gram: int) -> DataFrame:
                     ["key", "doc_id", "th", "start", "single", "bytes"],
                 )
 
-    return found.mapInArrow(run, "key long, doc_id long, th long, start int, single boolean, bytes binary")
+    return mapped(found, run, "key long, doc_id long, th long, start int, single boolean, bytes binary")
 
 
 def _spans(rows: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
@@ -318,7 +318,7 @@ def resolve(parts: DataFrame, window: int, block_bytes: int = BLOCK_BYTES, limit
 
     normal = parts.join(hot, "key", "left_anti") if some else parts
     dealt = normal.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
-    out = dealt.mapInArrow(blocks, "doc_id long, th long, s long, e long")
+    out = mapped(dealt, blocks, "doc_id long, th long, s long, e long")
     if not some:
         return out
 
@@ -329,7 +329,7 @@ def resolve(parts: DataFrame, window: int, block_bytes: int = BLOCK_BYTES, limit
                 w = [hashlib.blake2b(data[i : i + window], digest_size=16).digest() for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(np.arange(start, start + n)), pa.array([single] * n, pa.bool_())], ["w", "doc_id", "th", "s", "single"])
 
-    each = cut(parts.join(hot, "key", "left_semi").mapInArrow(windows, "w binary, doc_id long, th long, s long, single boolean"), "windows")
+    each = cut(mapped(parts.join(hot, "key", "left_semi"), windows, "w binary, doc_id long, th long, s long, single boolean"), "windows")
     twice = each.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
     return out.unionByName(each.filter("single").join(twice, "w", "left_semi").select("doc_id", "th", "s", (F.col("s") + window).alias("e")))
 
@@ -375,7 +375,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     joined = rows.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
-    out = small_batches(joined).mapInArrow(run, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
+    out = mapped(joined, run, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
     return out.withColumn("doc_id", shown("doc_id"))
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm.common import small_batches
+from gantry.llm.common import mapped
 
 KEYS = ("source", "lang", "tokenizer")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -84,7 +84,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
             n = [counter.count(t) for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64())], [*keep, "n_tokens"])
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def deltas(changes: DataFrame, sign: str = "sign") -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from gantry.llm import decontaminate, exact_dedup, near_dedup, queries, suffix_dedup
-from gantry.llm.common import table
+from gantry.llm.common import ROW, table
 from tests.compare import DATA, connection, differences
 from tests.llm.fixtures import components, family, shingles
 
@@ -43,8 +43,34 @@ def test_cuckoo_index_against_a_dict():
 
 def test_deleted_documents_leave_the_index(spark):
     rows = [(b"k" * 32, 5, 1, 1), (b"k" * 32, 9, 2, 1), (b"m" * 32, 1, 3, 1), (b"m" * 32, 1, 3, -1)]
-    got = exact_dedup.index(spark.createDataFrame(rows, "sha binary, cp long, doc_id long, n long"), 2).collect()
-    assert [(bytes(r["sha"]), r["keep_id"], r["group_size"]) for r in got] == [(b"k" * 32, 2, 2)]
+    rows += [(b"n" * 32, 5, 1, 1), (b"n" * 32, 9, 2, 1), (b"n" * 32, 7, 4, 1), (b"n" * 32, 9, 2, -1)]  # the survivor goes
+    changes = spark.createDataFrame([(*r, 0, 0) for r in rows], f"sha binary, cp long, doc_id long, n long, {ROW[0]} long, {ROW[1]} long")
+    got = exact_dedup.index(changes, 2).collect()
+    assert {(bytes(r["sha"]), r["keep_id"], r["group_size"]) for r in got} == {(b"k" * 32, 2, 2), (b"n" * 32, 4, 2)}
+
+
+def test_index_between_batches(spark, tmp_path):
+    held = exact_dedup.LiveDigests(spark, f"file://{tmp_path}/index")
+    docs = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    live = lambda: {(r["keep_id"], r["group_size"]) for r in held.live().collect()}
+    assert live() == set()
+    first = docs((1, "a b"), (2, "ab"), (3, "other"), (None, "ab"))
+    assert held.apply("one", first) and not held.apply("one", first) and live() == {(1, 3), (3, 1)}
+    assert held.apply("two", docs((1, "a b"), (3, "other")), sign=-1) and live() == {(2, 2)}
+    assert held.apply("three", docs((4, "a  b"), (3, "other"))) and live() == {(4, 3), (3, 1)}
+
+
+def test_rows_are_kept_by_row_and_not_by_id(spark):
+    """Rows that share an id with one that goes, or have none as it does, stay."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (3, text + " x"), (3, "a quite different text of some words"), (None, text + " y"), (None, "one more text that has no id"), (None, text), (1, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lambda df: sorted((r["doc_id"] or 0, r["text"]) for r in df.collect())
+    rest = [(0, "one more text that has no id"), (3, "a quite different text of some words")]
+    assert got(near_dedup.keep_one(docs)) == sorted([*rest, (1, text)])
+    assert got(exact_dedup.keep_one(docs)) == sorted([*rest, (1, text), (3, text + " x"), (0, text + " y")])
+    items = spark.createDataFrame([(7, "w1 w2 w3 w4 w5 w6 w7")], "item_id long, text string")
+    assert got(decontaminate.remove_leaks(docs, items)) == sorted(rest)
 
 
 @pytest.mark.parametrize("k, edits, block", [(2, 0.22, 4096), (2, 0.22, 8), (5, 0.09, 4096)])

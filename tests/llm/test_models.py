@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import random
+import re
+from collections import Counter
+
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from gantry.llm import quality, queries, toxicity
@@ -13,32 +19,92 @@ from tests.llm.fixtures import WHITE, components, shingles
 SF = f"{DATA}/sf0.01"
 
 
-def test_block_max_neighbours_are_exact():
+def _cosines(index, terms, weights):
+    out = np.zeros(len(index.ids))
+    query = dict(zip(terms.tolist(), weights.tolist()))
+    for i in range(len(out)):
+        own = slice(index.begin[i], index.begin[i + 1])
+        out[i] = sum(query.get(t, 0.0) * float(w) for t, w in zip(index.terms[own].tolist(), index.weights[own]))
+    return out
+
+
+@pytest.mark.parametrize("rest", [0.0, 0.05, 0.5])
+def test_block_max_neighbours_are_exact(monkeypatch, rest):
+    monkeypatch.setattr(toxicity, "REST", rest)
     r = np.random.default_rng(4)
     vectors = []
     for i in range(700):
         t = np.sort(r.choice(40, r.integers(0, 8), replace=False))
-        w = r.random(len(t)) + 0.1
-        vectors.append((i, t, w / np.sqrt((w * w).sum()) if len(t) else w, int(r.integers(0, 2)), 1.0))
-    index = toxicity.BlockMaxIndex(vectors, 40, block=16)
-    dense = np.zeros((len(index.ids), 40))
-    for i, t, w, _, _ in vectors:
-        if len(t):
-            dense[index.order[i], t] = w
-    for i, t, w, _, _ in vectors[:200]:
+        w = (r.random(len(t)) + 0.01) ** 3
+        vectors.append((t, w / np.sqrt((w * w).sum()) if len(t) else w))
+    sizes = np.array([len(t) for t, _ in vectors])
+    index = toxicity.BlockMaxIndex(np.arange(700), r.integers(0, 2, 700), np.ones(700), sizes, np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors]), 40, block=16)
+    for i in range(200):
+        t, w = vectors[i]
         if not len(t):
+            assert not len(index.nearest(t, w, 15)[0])
             continue
-        cosines = dense[:, t] @ w
+        cosines = _cosines(index, t, w)
         for without in (None, index.order[i]):
             at, near = index.nearest(t, w, 15, without)
             rest = cosines.copy()
             if without is not None:
                 rest[without] = 0
             want = np.lexsort((np.arange(len(rest)), -np.round(rest, 9)))[:15]
-            want = want[rest[want] > 0]
+            want = want[rest[want] > 1e-12]
             assert at.tolist() == want.tolist() and np.allclose(near, rest[want])
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    """Whole scores: words, document frequencies, weights, cosines to every example, votes and curve, from plain Python."""
+    rng = random.Random(5)
+    pool = [f"v{i}" for i in range(120)]
+    rows, marks = [], []
+    for i in range(150):
+        bad = i % 5 == 0
+        rows.append((i, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 40))) + (" nasty, Vile!" if bad and i % 3 else "")))
+        if i % 3 != 1:
+            marks.append((i, int(bad)))
+    rows += [(900, None), (901, ""), (902, "nothing known herein"), (903, "NASTY ÉTÉ vile")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    bags = {i: Counter(re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())) for i, t in rows}
+    label, n = dict(marks), len(rows)
+    terms = {w for i in label for w in bags[i]}
+    df = {w: sum(w in b for b in bags.values()) for w in terms}
+    yes, no = ({w: sum(w in bags[i] for i, y in marks if y == k) for w in terms} for k in (1, 0))
+    ny, nn = sum(label.values()), len(label) - sum(label.values())
+    part = lambda k, e: k * math.log(k / e) if k else 0.0
+
+    def weight(w):
+        s = (yes[w] + no[w]) / (ny + nn)
+        lr = 2 * (part(yes[w], ny * s) + part(no[w], nn * s) + part(ny - yes[w], ny * (1 - s)) + part(nn - no[w], nn * (1 - s)))
+        return (math.log((1 + n) / (1 + df[w])) + 1) * max(lr, 0.0)
+
+    def unit(bag):
+        v = {w: (1 + math.log(c)) * weight(w) for w, c in bag.items() if w in terms}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()} if size else {}
+
+    own = {i: unit(bags[i]) for i in label}
+
+    def vote(bag, without=None):
+        v = unit(bag)
+        near = sorted(((sum(v.get(w, 0) * x for w, x in own[i].items()), i) for i in label if i != without), reverse=True)
+        near = [(c, i) for c, i in near if c > 1e-9][:15]
+        return (sum(label[i] / (1.05 - min(c, 1)) for c, i in near) / sum(1 / (1.05 - min(c, 1)) for c, _ in near), near) if near else (ny / (ny + nn), [])
+
+    votes = [(vote(bags[i], i)[0], y) for i, y in sorted(label.items())]
+    a, b = toxicity.fit_curve(np.array([v for v, _ in votes]), np.array([y for _, y in votes]), np.ones(len(votes)))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
+    for i, bag in bags.items():
+        v, near = vote(bag)
+        if len(near) == 15 and sum(abs(c - near[-1][0]) < 1e-6 for c, _ in near) > 1:
+            continue  # which of equal neighbours vote is the index's choice
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-(a * v + b))), abs=2e-3)
+        assert np.allclose([e["cosine"] for e in got[i]["evidence"]], [c for c, _ in near], atol=1e-5)
+    assert got[903]["score"] > 0.5 > got[902]["score"] == got[900]["score"]
+
+
 def test_toxicity_held_out(spark):
     labels = table(spark, SF, "labels")
     rows = queries.op6_toxicity(spark, SF).join(labels, "doc_id").filter("held_out").collect()
@@ -57,8 +123,8 @@ def test_toxicity_evidence_and_ties(spark):
 
 
 def test_toxicity_of_few_labels(spark):
-    """Ten toxic examples, four with the marking word, against 58 clean ones; and two of each."""
-    docs = spark.createDataFrame([(i, f"plain story {'abcdefghij'[i % 10]} goes on") for i in range(58)] + [(100 + i, "story of one moron again" if i < 4 else f"plain story {'abcdefghij'[i]}") for i in range(10)] + [(200, "what moron"), (201, "plain story z")], "doc_id long, text string")
+    """Ten toxic examples, four with the marking word and six that read like clean ones, against 58 clean ones; and two of each."""
+    docs = spark.createDataFrame([(i, f"plain story {'abcdefghij'[i % 10]} goes on") for i in range(58)] + [(100 + i, "story of one moron again" if i < 4 else f"plain story {'abcdefghij'[i]} goes on") for i in range(10)] + [(200, "what moron"), (201, "plain story z goes on")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0) for i in range(58)] + [(100 + i, 1) for i in range(10)], "doc_id long, toxic int")
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
     assert got[200] > 0.5 > got[201] > 0
