@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and all rows its predecessor kept. All but the
 last return the columns of `docs`. Rows and their columns are never changed before the
 last stage, which adds `n_tokens`, `ids` and `decoded`.
+
+Rows are judged and kept one by one: neither missing nor repeated ids take a row with them.
+Toxicity and decontamination let rows through where they lie, the two dedup stages join
+narrow keys of rows (`common.keyed`), so no stage shuffles texts to apply a decision.
+Defined results: a null or empty text is neither toxic by its words nor leaked, and equal to
+other empty texts, of which one stays; very long texts are read whole by every stage; of
+equal texts and of near copies the row that `exact_dedup` and `near_dedup` name stays; an
+empty table gives an empty table; other columns pass through, whatever their names, but for
+`n_tokens`, `ids` and `decoded`, which the last stage replaces.
 """
 
 from __future__ import annotations
@@ -12,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gantry.llm import decontaminate, exact_dedup, near_dedup, sentencepiece_codec, toxicity
-from gantry.llm.common import cut, table
+from gantry.llm.common import Scratch, cut, table
 from gantry.llm.queries import tokenizer_file
 
 
@@ -58,5 +67,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's result on `documents`; what each stage before it kept is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with Scratch(spark) as scratch:  # what a stage leaves goes, but for its result
+            kept = scratch.keep(cut(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}"))
+        if hasattr(docs, "cut_path"):
+            Scratch(spark).delete(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
