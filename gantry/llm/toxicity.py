@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from gantry.llm.common import Scratch, bucket, cut, mapped, prefix_hash, range_hash, text_slices
 
-MAX_EXAMPLES, MAX_BYTES, NEIGHBOURS, BLOCK, FIRST_BLOCKS, REST = 8_000, 256 << 10, 15, 64, 4, 0.05
+MAX_EXAMPLES, MAX_BYTES, NEIGHBOURS, BLOCK, FIRST_BLOCKS, REST = 4_000, 256 << 10, 15, 64, 4, 0.02
 _FILTER_BITS = 22
 _PLAIN = np.zeros(256, bool)
 _PLAIN[48:58] = _PLAIN[97:123] = _PLAIN[128:] = True  # digits, letters, and bytes of other letters
@@ -148,8 +148,6 @@ class BlockMaxIndex:
         self.cell_block = (cell[start] % max(1, self.blocks)).astype(np.int32)
         self.cell_most = np.maximum.reduceat(self.post_weight, start) if len(start) else np.zeros(0, np.float32)
         self.term_cells = np.searchsorted(cell[start] // max(1, self.blocks), np.arange(n_terms + 1))
-        self.most = np.zeros(n_terms, np.float32)
-        np.maximum.at(self.most, self.terms, self.weights)
         self.query = np.zeros(n_terms)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -157,10 +155,10 @@ class BlockMaxIndex:
         none = np.zeros(0, np.int64), np.zeros(0)
         if not len(terms) or not self.blocks:
             return none
-        reach = weights * self.most[terms]
-        order = np.argsort(reach, kind="stable")
-        rest = np.cumsum(reach[order])
-        left = int(np.searchsorted(rest, REST, "right"))  # so many of the least terms stay below REST together
+        order = np.argsort(weights, kind="stable")
+        # what the least terms add together: by Cauchy and Schwarz their length, as the example's is 1 at most
+        rest = np.sqrt(np.cumsum(weights[order] ** 2))
+        left = int(np.searchsorted(rest, REST, "right"))
         at = self._search(terms[order[left:]], weights[order[left:]], float(rest[left - 1]) if left else 0.0, k, without)
         if at is None:  # the terms of weight don't decide
             at = self._search(terms, weights, 0.0, k, without)
