@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +36,10 @@ def _valid(min_blocks: int, strict: bool) -> Column:
 
 
 def function_strings(functions: DataFrame, kind: str = "esil", min_blocks: int = 5, registers: bool = False) -> DataFrame:
-    """binary, func_idx, name, text: all texts of a function in order, by spaces, commas as spaces."""
+    """binary, func_idx, name, text: all texts of a function in order, by spaces, commas as spaces; functions without text are left out."""
     texts = F.filter(F.flatten(F.transform("blocks", lambda b: block_texts(b, kind, registers))), lambda t: t != "")
     joined = F.array_join(F.transform(texts, lambda t: F.translate(t, ",", " ")), " ")
-    return functions.filter(_valid(min_blocks, False)).select("binary", "func_idx", "name", joined.alias("text"))
+    return functions.filter(_valid(min_blocks, False)).select("binary", "func_idx", "name", joined.alias("text")).filter("text <> ''")
 
 
 def string_map(strings: DataFrame, keys: Sequence[str] = ("binary",)) -> DataFrame:
@@ -91,28 +93,41 @@ def walks(successors: list[list[int]], max_hops: int = MAX_HOPS, strict: bool =
     return out
 
 
-def bounded_walks(edges: Column, n: Column, max_hops: int = MAX_HOPS, strict: bool = False) -> Column:
-    """Array of walks over a row's graph. Walking carries a stack, so this is a Python function (over Arrow)."""
+def with_walks(rows: DataFrame, edges: Column, n: Column, to: str = "walks", max_hops: int = MAX_HOPS, strict: bool = False) -> DataFrame:
+    """`rows` with the walks over each row's graph as an array of arrays.
 
-    def run(edges: list | None, n: int | None) -> list[list[int]]:
-        successors: list[list[int]] = [[] for _ in range(n or 0)]
-        for e in edges or []:
-            successors[e["src"]].append(e["dst"])
-        return walks(successors, max_hops, strict)
-
-    return F.udf(run, T.ArrayType(T.ArrayType(T.IntegerType())), useArrow=True)(edges, n)
+    Walking carries a stack, so it is Python, over whole Arrow batches of edges.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField(to, T.ArrayType(T.ArrayType(T.IntegerType())))])
+    width = len(rows.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists, sizes = b.column(width), b.column(width + 1).to_pylist()
+            flat = lists.flatten()
+            src, dst = (flat.field(c).to_pylist() for c in ("src", "dst"))
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+            out, at = [], 0
+            for size, length in zip(sizes, lengths):
+                successors: list[list[int]] = [[] for _ in range(size or 0)]
+                for i in range(at, at + length):
+                    successors[src[i]].append(dst[i])
+                at += length
+                out.append(walks(successors, max_hops, strict))
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(out, pa.list_(pa.list_(pa.int32())))], schema.names)
+
+    pair = F.transform(edges, lambda e: F.struct(e["src"].cast("int").alias("src"), e["dst"].cast("int").alias("dst")))
+    return rows.select("*", pair.alias("__edges"), n.cast("int").alias("__n")).mapInArrow(run, schema)
 
 
 def walk_lines(functions: DataFrame, kind: str = "instructions", min_blocks: int = 5, registers: bool = False, as_pairs: bool = False, strict: bool = False) -> DataFrame:
-    """binary, func_idx, name, start, ord, text: the texts along the walk from each block.
-
-    Only ids cross to Python; the texts are put together where they are.
-    """
-    rows = functions.filter(_valid(min_blocks, True)).withColumn("__edges", cfg_edges(F.col("blocks")))
-    rows = rows.withColumn("__texts", F.transform("blocks", lambda b: block_texts(b, kind, registers))).withColumn("__walks", bounded_walks(F.col("__edges"), node_count(F.col("__edges")), strict=strict))
-    walk = rows.select("binary", "func_idx", "name", "__texts", F.posexplode("__walks").alias("start", "__walk"))
-    texts = F.flatten(F.transform("__walk", lambda i: F.get("__texts", i)))
-    return walk.select("binary", "func_idx", "name", "start", F.posexplode(pairs(texts) if as_pairs else texts).alias("ord", "text"))
+    """binary, func_idx, name, start, ord, text: the texts along the walk from each block."""
+    texts = F.transform("blocks", lambda b: block_texts(b, kind, registers))
+    rows = functions.filter(_valid(min_blocks, True)).select("binary", "func_idx", "name", texts.alias("texts"), cfg_edges(F.col("blocks")).alias("edges"))
+    walked = with_walks(rows, F.col("edges"), node_count(F.col("edges")), strict=strict)
+    walk = walked.select("binary", "func_idx", "name", "texts", F.posexplode("walks").alias("start", "walk"))
+    along = F.flatten(F.transform("walk", lambda i: F.get("texts", i)))
+    return walk.select("binary", "func_idx", "name", "start", F.posexplode(pairs(along) if as_pairs else along).alias("ord", "text"))
 
 
 def pcode_lines(functions: DataFrame, as_pairs: bool = False) -> DataFrame:

@@ -191,13 +191,14 @@ def strict_graph(entries: DataFrame, variant: str = "cg", include_unk: bool = Tr
         edges = edges.unionByName(known.select("binary", "func", F.col("key").alias("src"), F.lit("0").alias("dst"), "rank"))
     if "hop" in steps:
         one = called.select("binary", F.col("caller").alias("func"), F.col("callee").alias("mid"), F.col("ord").alias("i"))
-        two = called.select("binary", F.col("caller").alias("mid"), F.col("callee").alias("name"), (F.col("func_idx") * 100_000 + F.col("ord")).alias("j"))
+        two = called.select("binary", F.col("caller").alias("mid"), F.col("callee").alias("name"), F.col("func_idx").alias("f"), F.col("ord").alias("j"))
         hop = one.join(two, ["binary", "mid"])
-        seen = hop.groupBy("binary", "func", "name").agg(F.min(rank(3, F.col("i"), F.col("j"))).alias("rank")).select("binary", "func", key(3, F.col("name")), "name", "rank")
+        third = F.array(F.lit(3), *[F.col(c).cast("int") for c in ("i", "f", "j")])
+        seen = hop.groupBy("binary", "func", "name").agg(F.min(third).alias("rank")).select("binary", "func", key(3, F.col("name")), "name", "rank")
         nodes = nodes.unionByName(seen.join(nodes.select("binary", "func", "name").distinct(), ["binary", "func", "name"], "left_anti"))
         first = nodes.groupBy("binary", "func", "name").agg(F.min_by("key", "rank").alias("k"))
         named = hop.join(first.select("binary", "func", F.col("name").alias("mid"), F.col("k").alias("src")), ["binary", "func", "mid"]).join(first.withColumnRenamed("k", "dst"), ["binary", "func", "name"])
-        more = named.groupBy("binary", "func", "src", "dst").agg(F.min(rank(3, F.col("i"), F.col("j"))).alias("rank"))
+        more = named.groupBy("binary", "func", "src", "dst").agg(F.min(third).alias("rank"))
         edges = edges.unionByName(more.join(edges.select("binary", "func", "src", "dst"), ["binary", "func", "src", "dst"], "left_anti"))
     return nodes, edges
 
@@ -232,10 +233,22 @@ def global_edges(called: DataFrame, entries: DataFrame, include_unk: bool = True
     return nodes, edges
 
 
+#: Functions whose nodes are numbered together.
+RUN = 1024
+
+
 def with_ids(seen: DataFrame) -> DataFrame:
-    """binary, id, name: dense ids in each program by rank, then name."""
-    place = F.row_number().over(Window.partitionBy("binary").orderBy("rank", "name")) - 1
-    return seen.select("binary", place.cast("long").alias("id"), "name", "rank")
+    """binary, id, name: dense ids in each program by rank, then name.
+
+    Nodes are numbered within runs of functions, and each run begins where those before it
+    end, so that a large program takes as many tasks as it has runs.
+    """
+    runs = seen.withColumn("run", F.floor(F.col("rank.i") / RUN))
+    sizes = runs.groupBy("binary", "run").agg(F.count("*").alias("n"))
+    before = sizes.select("binary", "run", (F.sum("n").over(Window.partitionBy("binary").orderBy("run")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("binary", "run").orderBy("rank", "name")) - 1
+    placed = runs.withColumn("place", place).join(before, ["binary", "run"])
+    return placed.select("binary", (F.col("before") + F.col("place")).cast("long").alias("id"), "name", "rank")
 
 
 def pruned(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +13,9 @@ _SORTS = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedpri
 PROGRAMS = 8
 
 
-def _entries(spark: SparkSession, d: str, whole: bool) -> DataFrame:
-    """binary, func_idx, name, imports: a part calls the next part of an order, of returned lines only unless `whole`; small parts have unknown names."""
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """binary, func_idx, name, imports: a part calls the next part of an order; small parts have unknown names."""
     lines = _table(spark, d, "lineitem")
-    lines = lines if whole else lines.filter("l_returnflag = 'R'")
     after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*_SORTS))
     steps = lines.select((F.col("l_orderkey") % PROGRAMS).alias("binary"), "l_orderkey", F.col("l_partkey").alias("part"), after.alias("to"))
     part = _table(spark, d, "part").select("p_partkey", F.concat(F.when(F.col("p_name").startswith("small"), "unk.").otherwise("sym."), F.col("p_partkey").cast("string")).alias("label"))
@@ -29,54 +26,54 @@ def _entries(spark: SparkSession, d: str, whole: bool) -> DataFrame:
 
 
 def _local(variant: str):
-    def query(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-        entries = _entries(spark, d, whole)
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        entries = _entries(spark, d)
         edges = graphs.local_edges(graphs.calls(entries, False), variant, False)
         return edges.select("binary", "func", "src", "dst")
 
     return query
 
 
-def local_cg_nodes(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def local_cg_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of each function's graph with its callees and callers."""
-    entries = _entries(spark, d, whole)
+    entries = _entries(spark, d)
     edges = graphs.local_edges(graphs.calls(entries, False), "cgcallers", False)
     return graphs.local_nodes(edges, entries).select("binary", "func", "name")
 
 
-def local_cg_documents(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def local_cg_documents(spark: SparkSession, d: str) -> DataFrame:
     """Node names, ids and edge counts of each function's graph document."""
-    entries = _entries(spark, d, whole)
+    entries = _entries(spark, d)
     edges = graphs.local_edges(graphs.calls(entries, True), "cg")
     out = graphs.graph_documents(graphs.local_nodes(edges, entries), edges)
     return out.select("binary", "func", F.size("graph.nodes").alias("n_nodes"), F.size(F.flatten("graph.adjacency")).alias("n_edges"), F.get("graph.nodes", F.lit(0))["funcName"].alias("first"))
 
 
-def _global(spark: SparkSession, d: str, whole: bool) -> tuple[DataFrame, DataFrame]:
-    entries = _entries(spark, d, whole)
+def _global(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    entries = _entries(spark, d)
     return graphs.global_edges(graphs.calls(entries, False), entries, False)
 
 
-def global_cg(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return _global(spark, d, whole)[0].select("binary", "id", "name")
+def global_cg(spark: SparkSession, d: str) -> DataFrame:
+    return _global(spark, d)[0].select("binary", "id", "name")
 
 
-def global_cg_pruned(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return graphs.pruned(*_global(spark, d, whole)).select("binary", "id", "name")
+def global_cg_pruned(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.pruned(*_global(spark, d)).select("binary", "id", "name")
 
 
-def global_cg_degrees(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return graphs.degrees(*_global(spark, d, whole))
+def global_cg_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.degrees(*_global(spark, d))
 
 
-def global_cg_adjacency(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def global_cg_adjacency(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours of each node with their place in its list."""
-    out = graphs.adjacency_rows(*_global(spark, d, whole))
+    out = graphs.adjacency_rows(*_global(spark, d))
     return out.select("binary", "id", F.posexplode("adjacent").alias("place", "a")).select("binary", "id", "place", F.col("a.id").alias("to"), F.col("a.weight").alias("weight"))
 
 
-def graph_sizes(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    nodes, edges = _global(spark, d, whole)
+def graph_sizes(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _global(spark, d)
     n = nodes.groupBy("binary").agg(F.count("*").alias("n_nodes"))
     return n.join(edges.groupBy("binary").agg(F.count("*").alias("n_edges")), "binary")
 
@@ -107,18 +104,16 @@ def pcode_cfg(spark: SparkSession, d: str) -> DataFrame:
     return out.select("l_orderkey", "id", F.col("node.start_addr").alias("address"), F.array_join(F.transform(F.get("adjacency", F.col("id")), lambda x: F.concat_ws(":", x["id"].cast("string"), x["weight"].cast("string"))), " ").alias("neighbours"))
 
 
-_CALLS = {
+QUERIES = {
     "local_cg": _local("cg"),
     "onehop_cg": _local("onehopcg"),
     "callers_cg": _local("cgcallers"),
     "onehop_callers_cg": _local("onehopcgcallers"),
-} | {f.__name__: f for f in (local_cg_nodes, local_cg_documents, global_cg, global_cg_pruned, global_cg_degrees, global_cg_adjacency, graph_sizes)}
-#: The names that SQL fixes hold the calls of returned lines; with _all those of every line.
-QUERIES = _CALLS | {f"{n}_all": partial(q, whole=True) for n, q in _CALLS.items()} | {f.__name__: f for f in (cfg_edges, cfg_adjacency, pcode_cfg)}
+} | {f.__name__: f for f in (local_cg_nodes, local_cg_documents, global_cg, global_cg_pruned, global_cg_degrees, global_cg_adjacency, graph_sizes, cfg_edges, cfg_adjacency, pcode_cfg)}
 
 _ORDERED = ", ".join(_SORTS)
 _STEPS = f"""
-    lines AS (SELECT l_orderkey % {PROGRAMS} AS program, l_orderkey, l_partkey AS part, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {_ORDERED}) AS to_part FROM lineitem WHERE l_returnflag = 'R'),
+    lines AS (SELECT l_orderkey % {PROGRAMS} AS program, l_orderkey, l_partkey AS part, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {_ORDERED}) AS to_part FROM lineitem),
     names AS (SELECT p_partkey, CASE WHEN p_name LIKE 'small%' THEN 'unk.' ELSE 'sym.' END || p_partkey AS name FROM part),
     entries AS (SELECT DISTINCT program, part AS func_idx, name FROM lines JOIN names ON part = p_partkey),
     every AS (SELECT program, part AS func_idx, a.name AS caller, b.name AS callee, row_number() OVER (PARTITION BY program, part ORDER BY l_orderkey, to_part, b.name) AS ord FROM lines JOIN names a ON part = a.p_partkey JOIN names b ON to_part = b.p_partkey),

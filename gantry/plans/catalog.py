@@ -2,14 +2,12 @@
 
 The tables hold no binaries, so conversations stand in for functions and blocks, order
 lines for instructions and calls, documents for function strings, parts for metadata.
-Queries cover their whole tables, but for the eleven of call graphs, whose SQL reads the lines
-returned only, and files_sorted, whose SQL gives ten pages. The same queries with _all cover
-the whole tables.
+Every query covers its whole tables.
 """
 
 from __future__ import annotations
 
-from gantry.plans import calls, rows, texts
+from gantry.plans import calls, functions, rows, texts
 
 
 def _program(query):
@@ -17,5 +15,5 @@ def _program(query):
     return lambda spark, d: query(spark, d).withColumnRenamed("binary", "program")
 
 
-QUERIES: dict = {n: _program(q) for n, q in {**rows.QUERIES, **texts.QUERIES, **calls.QUERIES}.items()}
-ORACLE_SQL: dict = {**rows.ORACLE_SQL, **texts.ORACLE_SQL, **calls.ORACLE_SQL}
+QUERIES: dict = {n: _program(q) for n, q in {**rows.QUERIES, **texts.QUERIES, **calls.QUERIES, **functions.QUERIES}.items()}
+ORACLE_SQL: dict = {**rows.ORACLE_SQL, **texts.ORACLE_SQL, **calls.ORACLE_SQL, **functions.ORACLE_SQL}

@@ -73,15 +73,15 @@ def global_graphs(entries: DataFrame, include_unk: bool = False, meta: DataFrame
     return rows, edges
 
 
-def nlp(functions: DataFrame, kind: str = "disasm", form: str = "single", random_walk: bool = False, pairs: bool = False, min_blocks: int = 5, registers: bool = False) -> DataFrame:
-    """Lines (form single) or function strings (form funcstring)."""
+def nlp(functions: DataFrame, kind: str = "disasm", form: str = "single", random_walk: bool = False, pairs: bool = False, min_blocks: int = 5, registers: bool = False, strict: bool = False) -> DataFrame:
+    """Lines (form single) or function strings (form funcstring). strict: the walk's hop counter is carried over, as earlier tools did."""
     if form == "funcstring":
         return corpus.function_strings(functions, kind, min_blocks, registers)
     if form != "single":
         raise ValueError(f"unknown output format {form!r}: single or funcstring")
     kind = "instructions" if kind == "disasm" else kind
     if random_walk:
-        return corpus.walk_lines(functions, kind, min_blocks, registers, pairs)
+        return corpus.walk_lines(functions, kind, min_blocks, registers, pairs, strict)
     if pairs:
         return corpus.row_pairs(corpus.linear_walk(functions, kind, min_blocks, registers), ["binary", "func_idx", "name"], ["ord"], "text").withColumnRenamed("pair", "text")
     return corpus.linear_walk(functions, kind, min_blocks, registers)

@@ -142,11 +142,6 @@ def path_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def files_sorted(spark: SparkSession, d: str) -> DataFrame:
-    """The ten first pages by path: the top-k report of a sorted file list."""
-    return _table(spark, d, "pages").select("page_id", "url").orderBy("url", "page_id").limit(10)
-
-
-def files_sorted_all(spark: SparkSession, d: str) -> DataFrame:
     """All pages by path: the whole sorted file list."""
     return _table(spark, d, "pages").select("page_id", "url").orderBy("url", "page_id")
 
@@ -183,7 +178,7 @@ def instruction_stats(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("reads"), F.count_if(F.col("l_returnflag") != "R").alias("writes"), F.count_distinct("l_partkey").alias("sites"))
 
 
-QUERIES = {f.__name__: f for f in (block_class_counts, overlapping_counts, function_avg_sum, offspring, arch_detect, finfo_subset, finfo_extended, combo_zip, node_features, dedup_by_program, dedup_value_only, dedup_stats, dedup_graph, dedup_removed, program_names, shortened_names, path_parts, files_sorted, files_sorted_all, map_explode, json_field, json_repair, hex_decode, mean_pool, instruction_stats)}
+QUERIES = {f.__name__: f for f in (block_class_counts, overlapping_counts, function_avg_sum, offspring, arch_detect, finfo_subset, finfo_extended, combo_zip, node_features, dedup_by_program, dedup_value_only, dedup_stats, dedup_graph, dedup_removed, program_names, shortened_names, path_parts, files_sorted, map_explode, json_field, json_repair, hex_decode, mean_pool, instruction_stats)}
 
 
 def _listed(words: list[str]) -> str:
@@ -231,7 +226,7 @@ ORACLE_SQL = {
         regexp_replace(p_name || '::f(' || p_partkey || ')', '[^a-zA-Z0-9_.-]', '_', 'g') AS clean, replace(p_name || 'f' || p_partkey, '::', '') AS stripped, '/kept/' || {_NAME} || '_cg-onehopcg/sym.f.json' AS kept FROM part""",
     "shortened_names": "SELECT page_id, CASE WHEN length(url || url) > 100 THEN left(url || url, 75) ELSE url || url END AS name FROM pages",
     "path_parts": "WITH p AS (SELECT page_id, string_split(string_split(url, '?')[1], '/') AS x FROM pages) SELECT page_id, x[-1] AS file, x[-2] AS folder, '/out/' || x[-2] || '/' || x[-1] AS moved FROM p",
-    "files_sorted": "SELECT page_id, url FROM pages ORDER BY url, page_id LIMIT 10",
+    "files_sorted": "SELECT page_id, url FROM pages ORDER BY url, page_id",
     "map_explode": "SELECT event_id, 'k' AS name, json_extract(props, '$.k')::BIGINT AS value FROM events",
     "json_field": "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events",
     "json_repair": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN '[[' || props || '],' || chr(10) || '[' || props || ']' || chr(10) || ']' WHEN 1 THEN '[,[' || props || ']' || chr(10) || ']' ELSE '[]' END AS fixed FROM events""",

@@ -103,8 +103,8 @@ def dfs_walk(spark: SparkSession, d: str) -> DataFrame:
     each = _lines(spark, d).groupBy("l_orderkey").agg(lines.alias("x")).withColumn("n", F.size("x"))
     nexts = F.transform("x", lambda x, i: F.struct(i.alias("src"), ((i + 1) % F.col("n")).cast("int").alias("dst")))
     jumps = F.transform("x", lambda x, i: F.struct(i.alias("src"), (x["l_partkey"] % F.col("n")).cast("int").alias("dst")))
-    walk = corpus.bounded_walks(F.concat(nexts, jumps), F.col("n"))
-    return each.select("l_orderkey", F.posexplode(walk).alias("start", "walk")).select("l_orderkey", "start", F.array_join(F.transform("walk", lambda i: i.cast("string")), " ").alias("walk"))
+    walked = corpus.with_walks(each.select("l_orderkey", F.concat(nexts, jumps).alias("edges"), "n"), F.col("edges"), F.col("n"))
+    return walked.select("l_orderkey", F.posexplode("walks").alias("start", "walk")).select("l_orderkey", "start", F.array_join(F.transform("walk", lambda i: i.cast("string")), " ").alias("walk"))
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +172,7 @@ _MASK = f"""CASE WHEN list_contains({_FP}, t) THEN 'fp' WHEN list_contains({_R32
     WHEN contains(t, '*') THEN array_to_string(list_transform(string_split(t, '*'), lambda p: CASE WHEN list_contains({_R64}, p) THEN 'reg64' ELSE p END), '*') ELSE t END"""
 
 #: The mnemonics that the lines have, and which of them are in a class.
-_CODES = ("mov", "lea", "call", "lw", "cmp", "nop")
+_CODES = ("mov", "lea", "call", "bl", "jal", "lw", "cmp", "nop")
 
 
 def _in(lists: list[tuple[str, list[str]]]) -> str:

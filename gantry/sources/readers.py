@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.functions import paths
+from gantry.functions import paths, text
 from gantry.sources import schemas
 
 # What a file's name tells about its content, and what each command accepts.
@@ -73,7 +73,7 @@ def parse(files: DataFrame, mode: str) -> DataFrame:
     value. Control-flow functions have parsed jumps, and -1 for missing offsets and fails.
     """
     schema, shape = schemas.MODES[mode]
-    parsed = files.withColumn("d", F.from_json("document", schema)).filter(F.col("d").isNotNull())
+    parsed = files.withColumn("d", _document(mode)).filter(F.col("d").isNotNull())
     head = [F.col("path"), binary_of(F.col("path")).alias("binary")]
     if shape == "map":
         return parsed.select(*head, F.explode("d").alias("name", "value"))
@@ -85,6 +85,13 @@ def parse(files: DataFrame, mode: str) -> DataFrame:
     return rows.select("path", "binary", "func_idx", "f.*").withColumn("blocks", F.transform("blocks", _block))
 
 
+def _document(mode: str) -> Column:
+    """The parsed document; control flow that the tool printed as one array after another is put together first."""
+    schema, _ = schemas.MODES[mode]
+    plain = F.from_json("document", schema)
+    return F.coalesce(plain, F.from_json(text.repaired_json(F.col("document")), schema)) if mode == "cfg" else plain
+
+
 def _complete(r: Column, mode: str) -> Column:
     r = F.get(r, F.lit(0)) if mode == "cfg" else r
     ok = F.lit(True)
@@ -96,7 +103,7 @@ def _complete(r: Column, mode: str) -> Column:
 def unreadable(files: DataFrame, mode: str) -> DataFrame:
     """Paths of documents that `parse` leaves out."""
     schema, shape = schemas.MODES[mode]
-    parsed = files.withColumn("d", F.from_json("document", schema))
+    parsed = files.withColumn("d", _document(mode))
     bad = F.col("d").isNull()
     if shape != "map":
         bad = bad | ~F.coalesce(F.forall("d", lambda r: _complete(r, mode)), F.lit(True))

@@ -65,10 +65,15 @@ def test_opcode_of_instruction(spark):
 
 def test_arm_arithmetic_comes_from_a_rule():
     words = set(opcodes.arm_arithmetic())
-    assert {"sub", "subeq", "subeqs", "adds", "umullnv", "ssatne16", "smlaltt", "qadd8al"} <= words and not {"mov", "bl", "cmp"} & words
+    assert {"sub", "subeq", "subeqs", "adds", "umullnv", "ssatne16", "smlaltt", "qadd8al", "smla", "umul", "rsbmi", "smlabbeq"} <= words
+    assert not {"mov", "bl", "cmp", "addmi", "rsbeq", "smlabb", "smlaltbcs"} & words
     assert len(words) > 1800
 
 
+def test_repeat_prefixes_are_one_entry():
+    assert {"rep movsq", "rep stosq", "rep"} <= set(opcodes.X86_GRP_COND_CTRANSFER) and not {"movsq", "stosq"} & set(opcodes.X86_GRP_COND_CTRANSFER)
+
+
 def test_program_names(spark):
     lay = lambda p, k: column(spark, [p], lambda c: paths.program(c, k))[0]
     assert lay("/d/arm-gcc-9-O1_tool_cg-onehopcg/main.json", "cisco") == "tool"
@@ -220,6 +225,8 @@ def test_corpora(functions):
     walk = commands.nlp(functions, "disasm", random_walk=True).filter("start = 0").orderBy("ord").collect()
     assert len(walk) == 27 and walk[3]["text"] == "mov eax 0x2f"
     assert commands.nlp(functions, "disasm", random_walk=True, pairs=True).filter("start = 0").count() == 26
+    strict = commands.nlp(functions, "disasm", random_walk=True, strict=True)
+    assert {r["name"] for r in strict.collect()} == {"main"} and commands.nlp(functions, "esil", random_walk=True).filter("text like 'IMM%'").count() > 0
     again = corpus.string_map(corpus.function_strings(functions, "esil").unionByName(corpus.function_strings(functions, "disasm").withColumn("func_idx", F.col("func_idx") + 9)))
     assert again.first()["strings"]["main"].startswith("mov eax")
 

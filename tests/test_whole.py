@@ -34,14 +34,14 @@ def test_all_lines_local(spark, orders, name):
         want |= {(g, b, a, b) for g, a, b in known if not a.startswith("unk.")}
     if "onehop" in name:
         want |= {(g, a, b, c) for g, a, b in known for h, x, c in known if (h, x) == (g, b)}
-    got = [tuple(r[c] for c in ("program", "func", "src", "dst")) for r in QUERIES[f"{name}_all"](spark, d).collect()]
+    got = [tuple(r[c] for c in ("program", "func", "src", "dst")) for r in QUERIES[name](spark, d).collect()]
     assert Counter(got) == Counter(want)
 
 
 def test_all_lines_other_graphs(spark, orders):
     d, calls, parts = orders
     known = {c for c in calls if not c[2].startswith("unk.")}
-    run = lambda n: QUERIES[f"{n}_all"](spark, d).collect()
+    run = lambda n: QUERIES[n](spark, d).collect()
     ends = {(g, x) for g, a, b in known for x in (a, b)}
     assert Counter((r["program"], r["name"]) for r in run("global_cg")) == Counter(parts)
     assert Counter((r["program"], r["name"]) for r in run("global_cg_pruned")) == Counter(ends)
@@ -87,8 +87,66 @@ def test_bpe_vocab_reads_documents(spark, tmp_path):
     assert tokeniser.merge_rules(counts, 40)[0] == brute_merges(counts, 40)
 
 
-def test_files_sorted_all(spark, tmp_path):
+def test_files_sorted(spark, tmp_path):
     pages = [(i, f"http://h/{(i * 7) % 10}") for i in range(25)]
     spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = [(r["page_id"], r["url"]) for r in QUERIES["files_sorted_all"](spark, str(tmp_path)).collect()]
+    got = [(r["page_id"], r["url"]) for r in QUERIES["files_sorted"](spark, str(tmp_path)).collect()]
     assert got == sorted(pages, key=lambda p: (p[1], p[0]))
+
+
+def _walks(successors: list[list[int]]) -> list[list[int]]:
+    """From each node, depth first in order, ten nodes at most."""
+    out = []
+    for start in range(len(successors)):
+        seen: list[int] = []
+
+        def visit(node: int, seen=seen) -> None:
+            if node in seen or len(seen) == 10:
+                return
+            seen.append(node)
+            for s in successors[node]:
+                visit(s)
+
+        visit(start)
+        out.append(seen)
+    return out
+
+
+def _lines_by_order(d: str) -> dict:
+    from tests.compare import connection
+
+    names = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
+    out: dict = {}
+    for r in connection(d).execute(f"SELECT {names} FROM lineitem ORDER BY {names}").fetchall():
+        out.setdefault(r[0], []).append(r)
+    return out
+
+
+def test_dfs_walk_by_brute_force(spark):
+    from tests.compare import DATA
+
+    d = f"{DATA}/sf0.001"
+    want = set()
+    for o, lines in _lines_by_order(d).items():
+        n = len(lines)
+        for start, w in enumerate(_walks([[(i + 1) % n, r[2] % n] for i, r in enumerate(lines)])):
+            want.add((o, start, " ".join(map(str, w))))
+    assert {(r["l_orderkey"], r["start"], r["walk"]) for r in QUERIES["dfs_walk"](spark, d).collect()} == want
+
+
+def test_walk_lines_by_brute_force(spark):
+    from tests.compare import DATA
+
+    d = f"{DATA}/sf0.001"
+    texts = {(r["func_idx"], r["ord"]): r["text"] for r in QUERIES["instruction_lines"](spark, d).collect()}
+    want = Counter()
+    for o, lines in _lines_by_order(d).items():
+        n = len(lines)
+        edges = [[*([(i + 1) % n] if r[3] % 4 else []), *([r[2] % 9] if r[2] % 9 < n else [])] for i, r in enumerate(lines)]
+        ends = [x for i, e in enumerate(edges) for x in (i, *e) if e]
+        if n > 2:
+            for start, w in enumerate(_walks(edges[: max(ends, default=-1) + 1])):
+                for k, i in enumerate(w):
+                    want[(o, start, k, texts[(o, i)])] += 1
+    got = Counter((r["func_idx"], r["start"], r["ord"], r["text"]) for r in QUERIES["walk_lines"](spark, d).collect())
+    assert got == want
