@@ -9,6 +9,9 @@ Profiles are counted over all training rows: each task adds up its own n-grams b
 language, the sums are shuffled, and only the top ranks of each language come to the
 driver (`size` n-grams for each of at most `max_languages` languages).
 
+Letters beyond code point 8190 are folded onto as many codes, so a few of them count as the
+same letter. Texts of any length are ranked whole.
+
 Defined results: a null text, a text without a letter, or no profile at all gives
 `und` with score 0. Equal counts rank by n-gram code, equal distances by language name.
 Null languages aren't learned. Rows are independent; an empty table gives an empty
@@ -44,7 +47,7 @@ def _codes() -> np.ndarray:
     """Code of each code point: 0 for what is no letter."""
     out = np.zeros(sys.maxunicode + 1, np.uint64)
     letters = np.array([i for i in range(sys.maxunicode + 1) if chr(i).isalpha()])
-    out[letters] = np.where(letters < _DIRECT, letters, _DIRECT + 1 + letters % _DIRECT) + 1
+    out[letters] = np.where(letters < _DIRECT, letters, _DIRECT + 1 + letters % (_DIRECT - 1)) + 1  # 16382 at most: 16383 marks an absent letter
     return out & np.uint64((1 << _BITS) - 1)
 
 

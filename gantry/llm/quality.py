@@ -13,7 +13,9 @@ every whole text is scored where it lies, without a shuffle.
 Defined results: a null or empty text has no features and gets what the thresholds alone
 say. Null grades, and grades of ids without a document, are not read; of repeated grades
 of an id the largest counts. With one grade that grade is expected with certainty; with
-none the grade is null, the tail probability 0 and nothing is kept. Rows are independent;
+none the grade is null, the tail probability 0 and nothing is kept. Texts of any length are
+read whole; of documents with the same id one is rated, that of the least text hash; ties
+don't matter to a score. Rows are independent;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -27,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import bucket, cut, prefix_hash, range_hash, mapped, text_slices, words
+from gantry.llm.common import Scratch, bucket, cut, mapped, prefix_hash, range_hash, text_slices, words
 
 MAX_EXAMPLES, DIMS, STEPS, RIDGE = 4_000, 1 << 14, 150, 2e-5
 
@@ -109,19 +111,22 @@ def fit(index: np.ndarray, value: np.ndarray, offsets: np.ndarray, y: np.ndarray
 def learn(docs: DataFrame, labels: DataFrame, grade: str = "quality", doc_id: str = "doc_id", text: str = "text", max_examples: int = MAX_EXAMPLES, dims: int = DIMS) -> OrdinalModel:
     """The model of at most `max_examples` rated documents."""
     rated = labels.filter(F.col(grade).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.max(F.col(grade).cast("int")).alias("y"))
-    rows = [(r["i"], r["y"]) for r in rated.orderBy(F.xxhash64("i"), "i").limit(max_examples).collect()]
+    source = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("text"))
+    # ratings find their documents first, so that those without one take no place in the sample
+    rows = [(r["i"], r["y"]) for r in rated.join(source.select("i"), "i", "left_semi").orderBy(F.xxhash64("i"), "i").limit(max_examples).collect()]
     if not rows:
         return OrdinalModel([], np.zeros(dims + 1), np.zeros(0))
     chosen = docs.sparkSession.createDataFrame(rows, "i long, y int")  # max_examples rows at most
-    source = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("text"))
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))  # of documents with the same id the one of the least hash
+    drawn = source.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(first.alias("f")).select("i", "y", "f.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = list(features(b.select(["text"]), dims))
             yield pa.RecordBatch.from_arrays([b.column("i"), b.column("y"), pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], ["i", "y", "at", "value"])
 
-    examples = mapped(source.join(F.broadcast(chosen), "i"), run, "i long, y int, at binary, value binary")
-    held = sorted(cut(examples, "rated").dropDuplicates(["i"]).collect(), key=lambda r: r["i"])
+    with Scratch(docs.sparkSession):
+        held = sorted(cut(mapped(drawn, run, "i long, y int, at binary, value binary"), "rated").collect(), key=lambda r: r["i"])
     index = np.frombuffer(b"".join(r["at"] for r in held), np.int32)
     value = np.frombuffer(b"".join(r["value"] for r in held), np.float32)
     return fit(index, value, np.concatenate([[0], np.cumsum([len(r["at"]) // 4 for r in held])]), np.array([r["y"] for r in held], np.int64), dims)

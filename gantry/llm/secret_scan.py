@@ -5,16 +5,21 @@ a credential would (after words such as `passphrase` or `login` and a separator,
 in the user part of a URL) and estimates by dynamic programming how many guesses the
 cheapest description of the value takes: a segmentation into dictionary words, dates,
 repeats, keyboard walks and brute-force spans, each with its own number of guesses.
-Values whose estimate reaches a threshold, and that hold a digit or a symbol between
-letters, become spans of kind `guess`. A base span always stays; a guess span that
-would overlap one of them is left out.
+Values whose estimate reaches a threshold become spans of kind `guess`; for values of
+letters alone it is a higher one, as a word of plain prose that no dictionary holds looks
+like them. A base span always stays; a guess span that would overlap one of them is left out.
 
-The segmentation is linear in the value's length: words, dates and walks have a bounded
-length, repeats are tracked by run, so that values are never cut.
+The estimate is the least over all segmentations, at a cost linear in the value's length:
+a brute-force span or a keyboard walk costs so much for each further character, so it is a
+state of its own; words, dates and repeated blocks have a bounded length; a run of one
+character costs the logarithm of its length, and only the first places of the run can be
+where a cheapest segmentation starts it. Values are never cut.
 
 Defined results: null counts as an empty text, which has no spans. Spans count code
-points and ends are exclusive. Rows are independent, so repeated rows and ids give
-repeated results and an empty table an empty result. Other columns are not read.
+points and ends are exclusive. Texts and values of any length are read whole. Rows are
+independent, so repeated rows and ids give repeated results and an empty table an empty
+result; of segmentations of the same cost the first found is reported. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -63,58 +68,78 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 33 if c.isascii() else 100
 
 
+#: What one more segment costs, a character of a walk after its first, and a block that comes again.
+STEP, WALK_STEP, AGAIN = 0.5, 0.25, 1.1
+_WALK = math.log10(47 * 4)
+
+
+def load_words(path: str) -> dict[str, int]:
+    """Ranks of a word list with one word a line, most frequent first; the rank is the number of guesses."""
+    with open(path, encoding="utf-8") as f:
+        words = [w for w in map(str.strip, f) if w]
+    return {w.lower(): i + 2 for i, w in reversed(list(enumerate(words)))}
+
+
+def word_cost(part: str, rank: dict[str, int]) -> float | None:
+    """log10 of the guesses of a dictionary word, as it stands or with digits for letters; a little more for capitals."""
+    low = part.lower()
+    found = [math.log10(rank[w]) + more for w, more in ((low, 0.0), (low.translate(_LEET), 0.3)) if w in rank]
+    return min(found) + 0.3 * (low != part) if found else None
+
+
+def date_ends(value: str, start: int) -> list[tuple[int, float]]:
+    """Ends of the dates that begin at a place, with log10 of their guesses."""
+    ends = {e for e in range(start + 4, min(len(value), start + 10) + 1) if _DATE.fullmatch(value, start, e)}
+    return [(e, math.log10(36500 if e - start > 4 else 120)) for e in sorted(ends)]
+
+
 def guess_cost(value: str, words: dict[str, int] | None = None) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses for `value` and the segmentation that needs fewest: (kind, start, end).
 
-    Each segment costs log10 of its own guesses plus a little for where it starts; a
-    brute-force span costs one alphabet choice for each character.
+    Each segment costs log10 of its own guesses and STEP; a brute-force span one alphabet
+    choice for each character; a repeat the character and how often it comes.
     """
     rank = _RANK if words is None else words
     longest = _LONGEST if words is None else max(map(len, words), default=0)
+    n, far = len(value), math.inf
     low = value.lower()
-    plain = low if len(low) == len(value) else value
-    leet = plain.translate(_LEET)
-    n = len(value)
-    best: list[float] = [0.0] + [math.inf] * n
+    low = low if len(low) == n else value
+    best: list[float] = [0.0] + [far] * n
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
-    step = 0.5  # for one more segment
+    brute, walk_one, walk_two, walk = (far, 0), (far, 0), (far, 0), (far, 0)  # cost and start of a span that reaches here
+    run = 0
 
     def offer(end: int, cost: float, kind: str, start: int) -> None:
         if cost < best[end] - 1e-12:
             best[end], back[end] = cost, (kind, start)
 
-    run_start = walk_start = 0
     for i in range(n):
         here = best[i]
-        # brute force: a longer span costs no further step
-        joined = back[i][0] == "brute"
-        offer(i + 1, here + math.log10(_alphabet(value[i])) + (0 if joined else step), "brute", back[i][1] if joined else i)
-        for end in range(i + 3, min(n, i + longest) + 1):
-            r, twisted = rank.get(plain[i:end]), False
-            if r is None:
-                r, twisted = rank.get(leet[i:end]), True
-            if r is not None:
-                upper = value[i:end] != plain[i:end]
-                offer(end, here + math.log10(r) + step + 0.3 * twisted + 0.3 * upper, "word", i)
+        # words, dates and blocks begin here; spans of characters go on to i + 1
+        for end in range(i + 1, min(n, i + longest) + 1):
+            c = word_cost(value[i:end], rank)
+            if c is not None:
+                offer(end, here + c + STEP, "word", i)
         if value[i].isdigit():
-            m = _DATE.match(value, i)
-            while m:
-                offer(m.end(), here + math.log10(36500 if m.end() - i > 4 else 120) + step, "date", i)
-                m = _DATE.fullmatch(value, i, i + 4) if m.end() - i > 4 else None
-        # runs that end here: the same character again and again, and neighbours on the keyboard
+            for end, c in date_ends(value, i):
+                offer(end, here + c + STEP, "date", i)
+        for size in range(2, min(12, i, n - i) + 1):
+            if value[i - size : i] == value[i : i + size]:
+                offer(i + size, here + AGAIN, "repeat", i)
+        alphabet = math.log10(_alphabet(value[i]))
+        brute = min(brute, (here + STEP, i))
+        brute = brute[0] + alphabet, brute[1]
+        offer(i + 1, brute[0], "brute", brute[1])
+        near = i > 0 and (low[i - 1], low[i]) in _NEXT
+        more = min(walk, walk_two)
+        walk = (more[0] + WALK_STEP, more[1]) if near else (far, 0)
+        walk_two = (walk_one[0] + WALK_STEP, walk_one[1]) if near else (far, 0)
+        walk_one = here + STEP + _WALK, i
+        offer(i + 1, walk[0], "walk", walk[1])
         if i and value[i] != value[i - 1]:
-            run_start = i
-        if i - run_start >= 2:
-            offer(i + 1, best[run_start] + math.log10(_alphabet(value[i]) * (i - run_start + 1)) + step, "repeat", run_start)
-        if i and (plain[i - 1], plain[i]) not in _NEXT:
-            walk_start = i
-        if i - walk_start >= 2:
-            offer(i + 1, best[walk_start] + math.log10(47 * 4) + 0.25 * (i - walk_start) + step, "walk", walk_start)
-        # a block that comes again at once: abcabc
-        for size in range(2, min(12, (i + 1) // 2) + 1):
-            a = i + 1 - 2 * size
-            if value[a : a + size] == value[a + size : i + 1]:
-                offer(i + 1, best[a + size] + 0.6 + step / 2, "repeat", a + size)
+            run = i
+        for start in range(run, min(i - 1, run + max(12, longest) + 1)):
+            offer(i + 1, best[start] + alphabet + math.log10(i + 1 - start) + STEP, "repeat", start)
     parts, end = [], n
     while end:
         kind, start = back[end]
@@ -134,8 +159,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guess_spans(text: str, base: list[tuple[int, int, int]], threshold: float, least: int) -> list[tuple[int, int, int]]:
-    """Values in credential contexts whose guess cost reaches `threshold` (log10)."""
+def guess_spans(text: str, base: list[tuple[int, int, int]], threshold: float, of_letters: float, least: int, words: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
+    """Values in credential contexts whose guess cost reaches `threshold`, or if they are letters alone `of_letters` (log10)."""
     if not _HINT.search(text):
         return []
     out = []
@@ -145,9 +170,9 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], threshold: float, l
             while b > a and text[b - 1] in ".:)]}!?":
                 b -= 1
             value = text[a:b]
-            if b - a < least or value.isalpha() or any(s < b and a < e for s, _, e in base):
+            if b - a < least or any(s < b and a < e for s, _, e in base):
                 continue
-            if guess_cost(value)[0] >= threshold:
+            if guess_cost(value, words)[0] >= (of_letters if value.isalpha() else threshold):
                 out.append((a, 3, b))
     return sorted(set(out))
 
@@ -156,8 +181,8 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 8.0, least: int = 8) -> DataFrame:
-    """Per document: doc_id, base and all spans: arrays of (kind, start, end)."""
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 8.0, of_letters: float = 20.0, least: int = 8, words: dict[str, int] | None = None) -> DataFrame:
+    """Per document: doc_id, base and all spans: arrays of (kind, start, end). words: ranks of a dictionary (`load_words`), by default a short one."""
     span = "array<struct<kind:string,start:int,end:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +190,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
             rows: list[list] = [[], []]
             for t in b.column("text").to_pylist():
                 base = base_spans(t or "")
-                both = sorted(base + guess_spans(t or "", base, threshold, least))
+                both = sorted(base + guess_spans(t or "", base, threshold, of_letters, least, words))
                 for out, spans in zip(rows, (base, both)):
                     out.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

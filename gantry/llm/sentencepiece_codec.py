@@ -45,8 +45,6 @@ class ChunkTable:
         self.blank = self.sp.piece_to_id(MARK)
         if self.sp.encode("x  y \tz") != self.front + self.sp.encode(" y") + self.sp.encode("\tz"):
             raise ValueError("this model's normaliser changes white space: chunks don't segment independently")
-        sp = self.sp
-        self.plain = frozenset(i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)))
         self.ids: dict[str, str] = {}
         self.odd: dict[str, str] = {}  # chunks that decode to something else than themselves
         self.chars = 0
@@ -73,9 +71,8 @@ class ChunkTable:
             coded = [c if p else [self.blank] for p, c in zip(part, coded)]
             self.ids.update(zip(part, [str(c)[1:-1] for c in coded]))
             self.chars += sum(map(len, part))
-            # only byte pieces and special pieces can decode to something else than their own text
-            check = [(p, c) for p, c in zip(part, coded) if not self.plain.issuperset(c)]
-            for (p, _), b in zip(check, self.sp.decode([self.front + c for _, c in check])):
+            # each chunk's ids are decoded once; most give the chunk again, so only the others are kept
+            for p, b in zip(part, self.sp.decode([self.front + c for c in coded], num_threads=1)):
                 if b != f"x {p}":
                     self.odd[p] = b[1:]
 
@@ -85,6 +82,7 @@ class ChunkTable:
         return ",".join([ids[p] for p in parts]).replace(" ", "")
 
     def decode(self, parts: list[str]) -> str:
+        """What the ids of these chunks decode to, joined by position."""
         if not parts:
             return ""
         if self.odd and not self.odd.keys().isdisjoint(parts):

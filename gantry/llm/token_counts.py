@@ -14,14 +14,16 @@ keeps the counts of distinct chunks; texts with other runs of white space around
 boundary are encoded whole.
 
 Defined results: a null text has no tokens, as an empty one. Null sources and languages
-are groups of their own. Documents with the same id are separate documents. An empty
-table gives an empty rollup. Extra columns are not read.
+are groups of their own. Documents with the same id are separate documents. Texts of
+any length are counted whole; there are no ties. An empty table gives an empty rollup. Extra
+columns are not read, and kept by `count_tokens` but for one called `n_tokens`.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -75,7 +77,7 @@ def _counter(vocabulary: str) -> Counter:
 
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """`docs` without its text and with n_tokens."""
-    keep = [c for c in docs.columns if c not in (text, "n_tokens")]
+    keep = [c for c in docs.columns if c.lower() not in (text.lower(), "n_tokens")]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +119,7 @@ class Rollup:
         if not self._fs.exists(root):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return sorted(n for n in names if self._fs.exists(self._at(f"{n}/_SUCCESS")))
+        return sorted(n for n in names if n.startswith(("batch=", "base=")) and self._fs.exists(self._at(f"{n}/_SUCCESS")))
 
     def _frames(self, names: list[str]) -> DataFrame:
         schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long, batch string"
@@ -135,35 +137,54 @@ class Rollup:
         inside = {r["batch"] for r in self._frames([last]).filter("batch is not null").select("batch").distinct().collect()}
         return [last, *(n for n in names if n.startswith("batch=") and n[6:] not in inside)]
 
-    def committed(self) -> set[str]:
-        names = self._live()
+    def _ids(self, names: list[str]) -> set[str]:
+        """Ids of the batches in these folders."""
         out = {n[6:] for n in names if n.startswith("batch=")}
         for n in names:
             if n.startswith("base="):
                 out |= {r["batch"] for r in self._frames([n]).filter("batch is not null").select("batch").distinct().collect()}
         return out
 
+    def committed(self) -> set[str]:
+        return self._ids(self._live())
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Add a batch of signed changes once; False if it was committed before."""
+        """Add a batch of signed changes once; False if it was committed before.
+
+        The batch is written aside and renamed, so of two writers of one id one counts.
+        """
         if not batch or "/" in batch:
             raise ValueError("a batch needs an id without slashes")
         if batch in self.committed():
             return False
-        deltas(changes).withColumn("batch", F.lit(None).cast("string")).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        return True
+        aside = f"writing-{uuid.uuid4().hex}"
+        deltas(changes).withColumn("batch", F.lit(None).cast("string")).write.parquet(f"{self.path}/{aside}")
+        final = self._at(f"batch={batch}")
+        if self._fs.exists(final) and not self._fs.exists(self._at(f"batch={batch}/_SUCCESS")):
+            self._fs.delete(final, True)  # what a writer that was cut off left
+        moved = not self._fs.exists(final) and self._fs.rename(self._at(aside), final)
+        late = self._at(f"batch={batch}/{aside}")  # a folder that came in between takes the renamed one into itself
+        if moved and self._fs.exists(late):
+            self._fs.delete(late, True)
+            moved = False
+        if self._fs.exists(self._at(aside)):
+            self._fs.delete(self._at(aside), True)
+        return moved
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens; groups without documents and tokens go."""
-        rows = self._frames(self._live()).filter("batch is null")
+        return self._totals(self._live())
+
+    def _totals(self, names: list[str]) -> DataFrame:
+        rows = self._frames(names).filter("batch is null")
         out = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return out.filter("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
         """One folder instead of many: totals, and the ids of the batches in them."""
-        names = self._live()
+        names = self._live()  # the totals and the ids of the same folders, whatever is committed meanwhile
         bases = [int(n[5:]) for n in self._folders() if n.startswith("base=")]
-        ids = [(b,) for b in sorted(self.committed())]
-        marks = self.spark.createDataFrame(ids, "batch string").selectExpr("cast(null as string) source", "cast(null as string) lang", "cast(null as string) tokenizer", "0L n_docs", "0L n_tokens", "batch")
-        self.totals().withColumn("batch", F.lit(None).cast("string")).unionByName(marks).write.parquet(f"{self.path}/base={max(bases, default=0) + 1}")
+        marks = self.spark.createDataFrame([(b,) for b in sorted(self._ids(names))], "batch string").selectExpr("cast(null as string) source", "cast(null as string) lang", "cast(null as string) tokenizer", "0L n_docs", "0L n_tokens", "batch")
+        self._totals(names).withColumn("batch", F.lit(None).cast("string")).unionByName(marks).write.parquet(f"{self.path}/base={max(bases, default=0) + 1}")
         for n in names:
             self._fs.delete(self._at(n), True)

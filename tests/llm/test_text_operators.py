@@ -51,6 +51,70 @@ def test_guess_cost_is_the_least_over_segmentations():
     assert cost <= secret_scan.guess_cost("redsunzq", {"zzzzzz": 2})[0]
 
 
+def _least_cost(value: str, words: dict[str, int]) -> float:
+    """The least cost over all segmentations, by trying each span with each kind."""
+    import functools
+    import math
+
+    def kinds(a: int, b: int):
+        part, m = value[a:b], b - a
+        sizes = [math.log10(secret_scan._alphabet(c)) for c in part]
+        yield sum(sizes) + 0.5, True
+        c = secret_scan.word_cost(part, words)
+        if c is not None:
+            yield c + 0.5, False
+        if secret_scan._DATE.fullmatch(part):
+            yield math.log10(36500 if m > 4 else 120) + 0.5, False
+        if m >= 3 and len(set(part)) == 1:
+            yield sizes[0] + math.log10(m) + 0.5, False
+        if m >= 3 and all((x, y) in secret_scan._NEXT for x, y in zip(part.lower(), part.lower()[1:])):
+            yield secret_scan._WALK + 0.25 * (m - 1) + 0.5, False
+        if 2 <= m <= 12 and value[a - m : a] == part and a >= m:
+            yield 1.1, False
+
+    @functools.cache
+    def least(end: int) -> float:
+        return min((least(a) + c for a in range(end) for c, _ in kinds(a, end)), default=0.0)
+
+    return least(len(value))
+
+
+def test_guess_cost_is_the_minimum():
+    import random
+
+    r = random.Random(7)
+    words = {"password": 2, "pass": 3, "no": 4, "aa": 5, "qwe": 9, "dragon": 30}
+    values = ["passwordfghj", "passsssss", "no1999no", "aaaa2000000", "abcabcabcabc", "qwertzxcvbnm", "P4ssw0rd!", "ddragonn", "aaaaaaaaaaaaaaaaaaaab", "121212121212"]
+    parts = ["pass", "PASSWORD", "no", "aaa", "qwer", "fgh", "1999", "20010203", "ab", "abab", "0000", "x", "!", "7", "dragon", "é"]
+    values += ["".join(r.choice(parts) for _ in range(r.randint(1, 5))) for _ in range(400)]
+    for v in values:
+        cost, segments = secret_scan.guess_cost(v, words)
+        assert cost == pytest.approx(_least_cost(v, words), abs=1e-9), v
+        assert segments[0][1] == 0 and segments[-1][2] == len(v) and all(x[2] == y[1] for x, y in zip(segments, segments[1:]))
+
+
+def test_letters_alone_need_more(spark):
+    rows = [(1, "login: xkqzvbtrwplmhgd"), (2, "login: something")]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.summary(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: "guess:7:22", 2: ""}
+
+
+def test_token_totals_of_documents(spark):
+    import base64
+    from collections import Counter
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.tokenizer_file(spark, "byte_bpe_50k.tiktoken"), "rb"))}
+    coder = tiktoken.Encoding("t", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs, tokens = Counter(), Counter()
+    for r in table(spark, SF, "documents").collect():
+        docs[(r["source"], r["lang"])] += 1
+        tokens[(r["source"], r["lang"])] += len(coder.encode_ordinary(r["text"] or ""))
+    got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in queries.op7_token_counts(spark, SF).collect()}
+    assert got == {k: (docs[k], tokens[k]) for k in docs}
+
+
 def test_guess_spans_in_contexts(spark):
     rows = [(1, "login: tR7$kq9!vbX2 and more"), (2, "login: password"), (3, "password=tR7kq9vbX2"), (4, "see https://user:k8Zq2Lw0xR@host/x")]
     got = {r["doc_id"]: r["spans"] for r in secret_scan.summary(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
@@ -122,6 +186,41 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_languages_by_brute_force():
+    """Profiles and distances from plain Python, for every text."""
+    from collections import Counter
+
+    def grams(text: str) -> list[str]:
+        out: Counter = Counter()
+        padded = re.sub(r"[^a-zà-ÿ]+", " ", f" {text.lower()} ")
+        for k in (1, 2, 3):
+            for i in range(len(padded) - k + 1):
+                g = padded[i : i + k]
+                if g.strip() and g.count(" ") <= (k > 1) + (k > 2) and "  " not in g:
+                    out[g] += 1
+        code = lambda g: [0x3FFF] * (3 - len(g)) + [0 if c == " " else ord(c) + 1 for c in g]
+        return [g for g, _ in sorted(out.items(), key=lambda x: (-x[1], code(x[0])))][:20]
+
+    texts = {"x": "the cat sat on the mat and the hat", "y": "der hund und die katze und der baum", "z": "été où là déjà été"}
+    size, ranked = 20, {k: grams(v) for k, v in texts.items()}
+    made = {}
+    for k, v in texts.items():
+        row, gram, n = language_id._grams([v.lower()])
+        order = sorted(range(len(gram)), key=lambda i: (-int(n[i]), int(gram[i])))[:size]
+        made[k] = [int(gram[i]) for i in order]
+        assert len(made[k]) == len(ranked[k])
+    profiles = language_id.Profiles(made, size)
+    for text in ["the dog and the cat", "die katze", "là", "hat der", "123", ""]:
+        own = grams(text)
+        far = {k: sum(abs(i - p.index(g)) if g in p else size for i, g in enumerate(own)) for k, p in ranked.items()}
+        best = min(sorted(far), key=far.get) if own else "und"
+        assert profiles.predict([text])[0] == [best]
+
+
+def test_language_codes_leave_the_mark_of_absent_letters_free():
+    assert int(language_id._codes().max()) < (1 << 14) - 1
+
+
 def test_out_of_place_distance():
     profiles = language_id.Profiles({"x": [1, 2, 3], "y": [3, 2, 1]}, 3)
     assert profiles.ranks[list(profiles.grams).index(1)].tolist() == [0, 2]
