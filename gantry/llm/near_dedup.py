@@ -326,12 +326,18 @@ def _with_partners(blocks: DataFrame, percent: int) -> DataFrame:
 
     def sieve(g: pa.Table) -> pa.RecordBatch:
         block, comp = _Sketched(g, percent), g.column("comp").to_numpy()
-        found = np.zeros(g.num_rows, bool)
+        own = np.unique(block.node, return_inverse=True)[1]
+        found = np.zeros(g.num_rows, bool)  # by member: those found need no other partner, and look only for those that do
         t = np.flatnonzero(~block.probe)
         for i in np.flatnonzero(block.probe):
-            near = block.near(i, t[comp[t] != comp[i]])
-            found[near] = True
-            found[i] |= bool(len(near))
+            others = t[comp[t] != comp[i]]
+            have = found[own[others]]
+            near = block.near(i, others[~have])
+            if not len(near) and not found[own[i]]:
+                near = block.near(i, others[have])
+            found[own[near]] = True
+            found[own[i]] |= bool(len(near))
+        found = found[own]
         keep = g.filter(pa.array(found)).select(["key", "node"]).combine_chunks()
         return keep.to_batches()[0] if keep.num_rows else pa.RecordBatch.from_pylist([], keep.schema)
 
