@@ -172,11 +172,31 @@ def tidy() -> None:
         _trim()(0)
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """`mapInArrow`, in pieces of at most `BATCH_BYTES` (or one row), whose worker is tidied after each task.
+_held: dict[tuple, object] = {}
+
+
+def held(make: Callable[[str], object], name: str) -> object:
+    """`make(name)`, kept in this worker for the tasks of queries that ask for it (`mapped` with `keeps`)."""
+    key = (make, name)
+    if key not in _held:
+        _held.clear()
+        _held[key] = make(name)
+    return _held[key]
+
+
+def forget() -> None:
+    """Give back what earlier queries `held` in this worker."""
+    if _held:
+        _held.clear()
+        tidy()
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, keeps: bool = False, piece: int = BATCH_BYTES) -> DataFrame:
+    """`mapInArrow`, in pieces of at most `piece` bytes (or one row), whose worker is tidied after each task.
 
     Whole texts can be long, and a batch is held by the executor and its worker. So a
-    session that hands Python larger batches is set to this size, which no result depends on.
+    session that hands Python larger batches is set to `BATCH_BYTES`, which no result depends
+    on. What an earlier query `held` in the worker goes first, unless this one `keeps` such things.
     """
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     if df.sparkSession.conf.get(setting, None) != str(BATCH_BYTES):
@@ -184,12 +204,14 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = max(1, -(-b.nbytes // BATCH_BYTES))
+            n = max(1, -(-b.nbytes // piece))
             step = max(1, -(-b.num_rows // n))
             for i in range(0, b.num_rows, step):
                 yield b.slice(i, step)
 
     def run_tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
         try:
             yield from run(pieces(batches))
         finally:

@@ -13,7 +13,6 @@ table. Other columns pass through `encode`, which replaces columns called `ids`,
 
 from __future__ import annotations
 
-import functools
 import gc
 import re
 from collections.abc import Iterator
@@ -24,11 +23,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gantry.llm.common import sha256_hex, mapped
+from gantry.llm.common import held, mapped, sha256_hex
 
 MARK = "▁"
 #: The table is emptied beyond this many chunks (or characters in them), which bounds a worker's memory.
 TABLE_CHUNKS, TABLE_CHARS = 200_000, 4_000_000
+#: Bytes of documents encoded at once where the ids themselves are returned, which take three times as much.
+ENCODE_BYTES = 2 << 20
 _RUN = re.compile(" +[^ ]*")
 
 
@@ -90,14 +91,9 @@ class ChunkTable:
         return " ".join(parts)
 
 
-@functools.lru_cache(maxsize=2)
-def _table(model_file: str) -> ChunkTable:
-    return ChunkTable(model_file)
-
-
 def _coded(texts: list[str | None], model_file: str) -> Iterator[tuple[str, int, str]]:
     """(ids, number of ids, decoded text) of each text, some megabytes at a time."""
-    table = _table(model_file)
+    table = held(ChunkTable, model_file)
     start = 0
     while start < len(texts):
         end, size = start, 0
@@ -134,7 +130,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
                 ids = pc.cast(pc.if_else(pa.array([n == 0 for _, n, _ in rows], pa.bool_()), pa.scalar([], pa.list_(pa.string())), pc.split_pattern(pa.array([i for i, _, _ in rows], pa.string()), ",")), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([n for _, n, _ in rows], pa.int64()), ids, pa.array([d for _, _, d in rows], pa.string())], schema.names)
 
-    return mapped(docs, run, schema)
+    return mapped(docs, run, schema, keeps=True, piece=ENCODE_BYTES)
 
 
 def decode(frame: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
@@ -143,12 +139,12 @@ def decode(frame: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
     schema = T.StructType([frame.schema[c] for c in keep] + [T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _table(model_file).sp
+        sp = held(ChunkTable, model_file).sp
         for b in batches:
             texts = [sp.decode(x) if x else "" for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], schema.names)
 
-    return mapped(frame, run, schema)
+    return mapped(frame, run, schema, keeps=True)
 
 
 def digests(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,4 +160,4 @@ def digests(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str
                 right.append(sha256_hex(back.encode()))
             yield pa.RecordBatch.from_arrays([b.column(doc_id), pa.array(counts, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], schema.names)
 
-    return mapped(docs.select(doc_id, text), run, schema)
+    return mapped(docs.select(doc_id, text), run, schema, keeps=True)
