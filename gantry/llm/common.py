@@ -23,9 +23,9 @@ from pyspark.sql import types as T
 
 _U64 = np.uint64
 #: Text bytes handled at once by the numpy kernels.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Bytes of an Arrow batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

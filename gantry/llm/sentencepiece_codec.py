@@ -28,6 +28,8 @@ from gantry.llm.common import held, mapped, sha256_hex
 MARK = "▁"
 #: The table is emptied beyond this many chunks (or characters in them), which bounds a worker's memory.
 TABLE_CHUNKS, TABLE_CHARS = 200_000, 4_000_000
+#: Characters of texts cut into chunks at once (or one text).
+TEXT_CHARS = 250_000
 #: Bytes of documents encoded at once where the ids themselves are returned, which take three times as much.
 ENCODE_BYTES = 2 << 20
 _RUN = re.compile(" +[^ ]*")
@@ -92,12 +94,12 @@ class ChunkTable:
 
 
 def _coded(texts: list[str | None], model_file: str) -> Iterator[tuple[str, int, str]]:
-    """(ids, number of ids, decoded text) of each text, some megabytes at a time."""
+    """(ids, number of ids, decoded text) of each text, `TEXT_CHARS` at a time."""
     table = held(ChunkTable, model_file)
     start = 0
     while start < len(texts):
         end, size = start, 0
-        while end < len(texts) and (end == start or size < 2_000_000):
+        while end < len(texts) and (end == start or size < TEXT_CHARS):
             size += len(texts[end] or "")
             end += 1
         gc.disable()  # the table holds no cycles, and walking it again and again is slow
