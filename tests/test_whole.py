@@ -87,6 +87,25 @@ def test_bpe_vocab_reads_documents(spark, tmp_path):
     assert tokeniser.merge_rules(counts, 40)[0] == brute_merges(counts, 40)
 
 
+def test_bpe_in_tasks_as_on_one_machine(spark):
+    """Words of few letters, runs of one letter, equal counts, special tokens as texts and tokens that arise in two ways."""
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(40)) for letters in ("ab", "aab", "abcd", "éa", "xyz<s>") for _ in range(12)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "aaaaaaa aaaaa aaaa " * 9, "<s> <s> <mask> " * 30]], "text string")
+    counts = {r["token"]: r["n"] for r in tokeniser.pretoken_counts(rows).collect()}
+    for size in (25, 60, 400, 10_000):
+        assert tokeniser.learn(rows, size) == tokeniser.merge_rules(counts, size)
+
+
+def test_bpe_of_many_pretokens(spark):
+    """More distinct pre-tokens than one machine used to take."""
+    rows = spark.range(1_000_001).selectExpr("concat('n', translate(cast(id as string), '0123456789', 'abcdefghij')) as text")
+    vocabulary, merges = tokeniser.learn(rows, 40)
+    assert len(vocabulary) == 40 and merges[0] == ("Ġ", "n")
+
+
 def test_files_sorted(spark, tmp_path):
     pages = [(i, f"http://h/{(i * 7) % 10}") for i in range(25)]
     spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
