@@ -25,6 +25,11 @@ TIKNIB = ("arithshift", "compare", "ctransfer", "ctransfercond", "dtransfer", "f
 FEATURES = {"gemini": GEMINI, "discovre": DISCOVRE, "dgis": DGIS, "tiknib": TIKNIB}
 
 
+def once(value: Column, body) -> Column:
+    """`body` of a value that is computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def opcode(kind: Column, text: Column) -> Column:
     """Mnemonic: none for invalid instructions, `nop` for nops, else the text's first word."""
     word = F.nullif(F.regexp_extract(text, r"(\S+)", 1), F.lit(""))
@@ -32,7 +37,7 @@ def opcode(kind: Column, text: Column) -> Column:
 
 
 def op_opcode(op: Column) -> Column:
-    return opcode(op["type"], op["opcode"])
+    return once(F.regexp_extract(op["opcode"], r"(\S+)", 1), lambda word: F.when(op["type"] == "invalid", F.lit(None)).when(op["type"] == "nop", F.lit("nop")).when(word != "", word))
 
 
 def first_class(rules: Rules, other: str | None = None) -> Column:
@@ -96,13 +101,13 @@ def _known(arch: Column, vector: Column) -> Column:
 def gemini(block: Column, arch: Column, reduced: bool = False) -> Column:
     """Calls, transfers, arithmetic (exclusive, in that order), instructions, constants, strings, offspring."""
     kind = lambda o: first_class([(n, in_class(o["code"], arch, n)) for n in ("call", "transfer", "arithmetic")], "")
-    ops = _ops(block)
-    kinds = F.transform(ops, kind)
-    out = _counts(kinds, ("call", "transfer", "arithmetic"))
-    out += [F.size(ops).cast("double"), _count(ops, lambda o: o["number"]), _count(ops, lambda o: o["string"])]
-    if not reduced:
-        out.append(F.when(F.size(block["ops"]) > 0, offspring(block)).otherwise(0.0))
-    return _known(arch, F.array(*out))
+    more = [] if reduced else [F.when(F.size(block["ops"]) > 0, offspring(block)).otherwise(0.0)]
+
+    def of(ops: Column) -> Column:
+        out = once(F.transform(ops, kind), lambda kinds: F.array(*_counts(kinds, ("call", "transfer", "arithmetic"))))
+        return F.concat(out, F.array(F.size(ops).cast("double"), _count(ops, lambda o: o["number"]), _count(ops, lambda o: o["string"]), *more))
+
+    return _known(arch, once(_ops(block), of))
 
 
 def dgis(block: Column, arch: Column) -> Column:
@@ -112,18 +117,15 @@ def dgis(block: Column, arch: Column) -> Column:
     def kind(o: Column) -> Column:
         return first_class([(n, in_class(o["code"], arch, n) & o["lib"] if n == "call" else in_class(o["code"], arch, n)) for n in order], "generic")
 
-    kinds = F.transform(_ops(block), kind)
-    return _known(arch, F.array(*_counts(kinds, (*order, "generic"))))
+    return _known(arch, once(F.transform(_ops(block), kind), lambda kinds: F.array(*_counts(kinds, (*order, "generic")))))
 
 
 def tiknib(block: Column, arch: Column) -> Column:
     """Seven overlapping counts."""
-    ops = _ops(block)
-
     def member(names: Sequence[str]):
         return lambda o: in_group(o["code"], arch, names)
 
-    return _known(arch, F.array(*[_count(ops, member(names)) for names in OVERLAPPING.values()], F.size(ops).cast("double")))
+    return _known(arch, once(_ops(block), lambda ops: F.array(*[_count(ops, member(names)) for names in OVERLAPPING.values()], F.size(ops).cast("double"))))
 
 
 def features(block: Column, arch: Column, kind: str) -> Column:

@@ -15,8 +15,8 @@ _SORTS = texts._SORTS
 BINARIES = 500
 
 
-def _functions(spark: SparkSession, d: str) -> DataFrame:
-    """binary, func_idx, name, arch, blocks.
+def _functions(spark: SparkSession, d: str, esil: bool = False) -> DataFrame:
+    """binary, func_idx, name, arch, blocks; ESIL texts on demand.
 
     A block jumps to the next line's (the last to the first, one in four nowhere) and fails to
     the one that its part names, which may lie outside. The third line is a call in the words
@@ -25,7 +25,7 @@ def _functions(spark: SparkSession, d: str) -> DataFrame:
     call = F.element_at(F.array(F.lit("call"), F.lit("bl"), F.lit("jal")), (F.col("l_orderkey") % 3 + 1).cast("int"))
     text = F.when(F.col("l_linenumber") == 3, F.concat(call, F.lit(" sym.imp.f"), F.col("l_suppkey").cast("string"))).otherwise(texts._instruction())
     kind = F.when(F.col("l_quantity") > 45, "invalid").when(F.col("l_linenumber") == 3, "call").otherwise("mov")
-    line = F.struct(*_SORTS, kind.alias("kind"), text.alias("text"), texts._esil().alias("esil"))
+    line = F.struct(*_SORTS, kind.alias("kind"), text.alias("text"), (texts._esil() if esil else F.lit(None).cast("string")).alias("esil"))
     each = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x")).withColumn("n", F.size("x"))
 
     def block(x, i):
@@ -36,7 +36,8 @@ def _functions(spark: SparkSession, d: str) -> DataFrame:
 
     key = F.col("l_orderkey")
     arch = F.element_at(F.array(*map(F.lit, ("X86", "ARM", "MIPS"))), (key % 3 + 1).cast("int"))
-    return each.select((key % BINARIES).alias("binary"), key.alias("func_idx"), F.concat(F.lit("f"), key.cast("string")).alias("name"), arch.alias("arch"), F.transform("x", block).alias("blocks"))
+    # One row, generated: conditions on the blocks are not pushed below, where each would build them anew.
+    return each.select((key % BINARIES).alias("binary"), key.alias("func_idx"), F.concat(F.lit("f"), key.cast("string")).alias("name"), arch.alias("arch"), F.explode(F.array(F.transform("x", block))).alias("blocks"))
 
 
 def attributed_cfg(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +62,7 @@ def disasm_strings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def esil_strings(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.function_strings(_functions(spark, d), "esil", 2)
+    return corpus.function_strings(_functions(spark, d, True), "esil", 2)
 
 
 def instruction_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -399,3 +399,12 @@ def test_tokeniser_refuses_part_of_the_pretokens(spark):
 def test_plans_stay_in_the_jvm(functions):
     for df in (commands.cfg_graphs(functions, "tiknib"), commands.nlp(functions, "esil", "funcstring", registers=True), metadata.tiknib_functions(commands.with_arch(functions))):
         assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_attributed_cfg_computes_blocks_once(spark):
+    """The mnemonic of an operation is found once in the plan, and no filter repeats what the projection computes."""
+    from gantry.plans.functions import _functions
+    from tests.compare import DATA
+
+    plan = graphs.attributed_cfg(_functions(spark, f"{DATA}/sf0.001"), "gemini", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1 and "Filter" not in plan
