@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gantry.functions import paths, text
+from gantry.operators.blocks import once
 from gantry.sources import schemas
 
 # What a file's name tells about its content, and what each command accepts.
@@ -73,12 +74,12 @@ def parse(files: DataFrame, mode: str) -> DataFrame:
     value. Control-flow functions have parsed jumps, and -1 for missing offsets and fails.
     """
     schema, shape = schemas.MODES[mode]
-    parsed = files.withColumn("d", _document(mode)).filter(F.col("d").isNotNull())
     head = [F.col("path"), binary_of(F.col("path")).alias("binary")]
     if shape == "map":
-        return parsed.select(*head, F.explode("d").alias("name", "value"))
-    parsed = parsed.filter(F.forall("d", lambda r: _complete(r, mode)))
-    rows = parsed.select(*head, F.posexplode("d").alias("func_idx", "r"))
+        return files.select(*head, F.explode(_document(mode)).alias("name", "value"))
+    # A filter on the parsed document would parse it anew: one that is left out is null instead, which gives no rows.
+    whole = once(_document(mode), lambda d: F.when(F.forall(d, lambda r: _complete(r, mode)), d))
+    rows = files.select(*head, F.posexplode(whole).alias("func_idx", "r"))
     if shape == "rows":
         return rows.select("path", "binary", "func_idx", "r.*")
     rows = rows.select("path", "binary", "func_idx", F.get("r", F.lit(0)).alias("f")).filter("f is not null")

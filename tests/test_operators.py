@@ -448,3 +448,11 @@ def test_graph_documents_without_a_join(spark):
     got = {r["func"]: ([n["funcName"] for n in r["graph"]["nodes"]], [[a["id"] for a in x] for x in r["graph"]["adjacency"]]) for r in out.collect()}
     assert got == {"f": (["f", "g"], [[1], [0]]), "x": (["x"], [[]])}
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_parsed_once(spark):
+    """Once as they are and once repaired; the plan names neither a second time."""
+    files = spark.createDataFrame([("/in/a_cfg.json", "[]"), ("/in/b_cfg.json", None), ("/in/c_cfg.json", "{")], "path string, document string")
+    rows = readers.parse(files, "cfg")
+    assert rows.count() == 0
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 2
