@@ -35,12 +35,28 @@ ESIL_PATTERNS = [
     (r"(0[xX][0-9a-fA-F]{4,},)", "MEM,"),
 ]
 ESIL_NUMBER = r"([0-9]{4,}?,)"
+# Of each disassembly pattern, the texts of which a match holds one.
+DISASM_HOLDS = [("0xffff",), ("]",), ("(",), ("0x",), ("str",), ("method",), ("fcn", "sym"), ("obj",), ("[reloc",), ("loc",), ("nop",)]
 
 
 def _rewrite(text: Column, patterns: list[tuple[str, str]], flags: str) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, F.lit(flags + p[0]), F.lit(p[1])), patterns, text)
 
 
+def _rewrite_where(text: Column, patterns: list[tuple[str, str]], holds: list[tuple[str, ...]], flags: str) -> Column:
+    """As `_rewrite`, but a pattern is only tried where the text holds what its matches hold: a search costs a fraction of a match.
+
+    The text so far is bound as a lambda's argument, so that it is computed once.
+    """
+
+    def rule(pattern: str, by: str, parts: tuple[str, ...]):
+        may = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(p)) for p in parts])
+        return lambda t: F.when(may(t), F.regexp_replace(t, F.lit(flags + pattern), F.lit(by))).otherwise(t)
+
+    rules = [rule(*p, parts) for p, parts in zip(patterns, holds, strict=True)]
+    return F.get(reduce(F.transform, rules, F.array(text)), F.lit(0))
+
+
 def _masked_disasm(token: Column) -> Column:
     """The class of a register token; others stay. The first rule that fits decides."""
     ends = token.endswith("]")
@@ -59,13 +75,15 @@ def _masked_disasm(token: Column) -> Column:
     )
 
 
-def disasm(text: Column, registers: bool = False, unicode: bool = True) -> Column:
+def disasm(text: Column, registers: bool = False, unicode: bool = True, nested: bool = False) -> Column:
     """Normalised disassembly; `registers` masks register names. Null stays null.
 
-    unicode: white-space classes as in Unicode; False for ASCII classes.
+    unicode: white-space classes as in Unicode; False for ASCII classes. nested: for texts
+    within arrays, whose code is not generated.
     """
     spaced = F.replace(F.replace(text, F.lit(","), F.lit(" ")), F.lit("  "), F.lit(" "))
-    out = _rewrite(spaced, DISASM_PATTERNS, "(?Ud)" if unicode else "(?d)")
+    flags = "(?Ud)" if unicode else "(?d)"
+    out = _rewrite_where(spaced, DISASM_PATTERNS, DISASM_HOLDS, flags) if nested else _rewrite(spaced, DISASM_PATTERNS, flags)
     if not registers:
         return out
     return F.array_join(F.transform(F.filter(F.split(out, " "), lambda t: t != ""), _masked_disasm), " ")

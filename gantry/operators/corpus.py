@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gantry.functions import normalise
-from gantry.operators.graphs import cfg_edges, node_count
 
 # Separators of instruction pairs.
 PAIR, PCODE_PAIR = " " * 6, " ---- "
 MAX_HOPS = 10
+#: Walks that take their steps together, and lines handed over together.
+STARTS, LINES = 8192, 1 << 17
 
 
 def block_texts(block: Column, kind: str, registers: bool = False) -> Column:
@@ -26,7 +28,7 @@ def block_texts(block: Column, kind: str, registers: bool = False) -> Column:
     """
     source = {"esil": "esil", "disasm": "disasm", "pseudo": "opcode", "instructions": "disasm"}[kind]
     there = (lambda o: o[source].isNotNull()) if kind == "instructions" else (lambda o: F.octet_length(o[source]) > 1)
-    norm = (lambda o: normalise.esil(o[source], o["type"], registers)) if kind == "esil" else (lambda o: normalise.disasm(o[source], registers))
+    norm = (lambda o: normalise.esil(o[source], o["type"], registers)) if kind == "esil" else (lambda o: normalise.disasm(o[source], registers, nested=True))
     return F.transform(F.filter(block["ops"], there), norm)
 
 
@@ -66,6 +68,54 @@ def row_pairs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text:
     return rows.select(*keys, *order, F.concat(F.col(text), F.lit(separator), after).alias("pair")).filter("pair is not null")
 
 
+def _bounded(sizes: np.ndarray, src: np.ndarray, dst: np.ndarray, max_hops: int, strict: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Walks over many graphs at once: first start, nodes by walk and hop, lengths, for STARTS starts at a time.
+
+    sizes: nodes of each graph, which are numbered through; an edge's ends are such numbers.
+    A step goes from the last node of the walk that has a successor out of it to the first
+    such successor, so a walk is nodes with places in their successors, and all walks of a
+    slice take their steps together.
+    """
+    n, width = int(sizes.sum()), max(max_hops + strict, 1)
+    order = np.argsort(src, kind="stable")
+    src, dst = src[order], dst[order]
+    # Only the first of equal edges counts: a walk then passes over fewer successors of a node than it has hops.
+    first = np.sort(np.unique(src * max(n, 1) + dst, return_index=True)[1])
+    src, dst = src[first], dst[first]
+    begin = np.searchsorted(src, np.arange(n + 1))
+    is_first = np.zeros(n, bool)
+    is_first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    hops = 0
+    for start in range(0, n, STARTS):
+        starts = np.arange(start, min(start + STARTS, n))
+        nodes = np.full((len(starts), width), -1)
+        at, end = np.zeros((2, len(starts), width), np.int64)
+        nodes[:, 0], at[:, 0], end[:, 0] = starts, begin[starts], begin[starts + 1]
+        length, top = np.ones(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        going = np.arange(len(starts) if width > 1 else 0)
+        while len(going):
+            t = top[going]
+            place = at[going, t]
+            more = place < end[going, t]
+            top[going[~more]] -= 1
+            w, t, place = going[more], t[more], place[more]
+            at[w, t] += 1
+            node = dst[place]
+            new = (nodes[w] != node[:, None]).all(axis=1)
+            w, node = w[new], node[new]
+            nodes[w, length[w]] = node
+            length[w] += 1
+            top[w] += 1
+            at[w, top[w]], end[w, top[w]] = begin[node], begin[node + 1]
+            going = going[(top[going] >= 0) & (length[going] < width)]
+        if strict:
+            for i, (natural, restart) in enumerate(zip(length.tolist(), is_first[starts].tolist())):
+                hops = 0 if restart else hops
+                left = max_hops - hops
+                length[i], hops = (left, 0) if natural > left else (natural, hops + natural)
+        yield start, nodes, np.minimum(length, max_hops)
+
+
 def walks(successors: list[list[int]], max_hops: int = MAX_HOPS, strict: bool = False) -> list[list[int]]:
     """Nodes of the bounded depth-first walk from each node, by order of visit.
 
@@ -73,24 +123,46 @@ def walks(successors: list[list[int]], max_hops: int = MAX_HOPS, strict: bool =
     over to the next start where a walk ends by itself, and the node at which it runs out
     is lost, so that later walks are shorter.
     """
-    out, hops = [], 0
-    for start in range(len(successors)):
-        seen: set[int] = set()
-        stack, walk = [start], []
-        hops = hops if strict else 0
-        while stack:
-            node = stack.pop()
-            if node in seen:
-                continue
-            if hops >= max_hops:
-                hops = 0
-                break
-            seen.add(node)
-            walk.append(node)
-            hops += 1
-            stack += [s for s in reversed(successors[node]) if s not in seen]
-        out.append(walk)
-    return out
+    src = np.repeat(np.arange(len(successors)), [len(s) for s in successors])
+    dst = np.array([d for s in successors for d in s], np.int64)
+    parts = _bounded(np.array([len(successors)]), src, dst, max_hops, strict)
+    return [w[:k] for _, nodes, length in parts for w, k in zip(nodes.tolist(), length.tolist())]
+
+
+def _ends(edges: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and both ends (src, dst) of all edges of the rows."""
+    flat = edges.flatten()
+    src, dst = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("src", "dst"))
+    return np.repeat(np.arange(len(edges)), _lengths(edges)), src, dst
+
+
+def _control_flow(row: np.ndarray, offset: np.ndarray, targets: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the edges of `graphs.cfg_edges`, as numbers of blocks, of the blocks of many functions, by sorting.
+
+    row: each block's function; targets: per kind, each block's target.
+    """
+    known, number = np.unique(offset, return_inverse=True)
+    keys = row * max(len(known), 1) + number
+    starts, block = np.unique(keys, return_index=True)  # the first block of a function with an offset
+    src, dst = np.empty((2, len(offset), len(targets)), np.int64)
+    for k, target in enumerate(targets):
+        number = np.minimum(np.searchsorted(known, target), max(len(known) - 1, 0))
+        key = row * max(len(known), 1) + number
+        at = np.minimum(np.searchsorted(starts, key), max(len(starts) - 1, 0))
+        there = (target != -1) & (known[number] == target) & (starts[at] == key)
+        dst[:, k] = np.where(there, block[at], -1)
+        src[:, k] = block[np.searchsorted(starts, keys)]
+    is_edge = dst.ravel() >= 0
+    return src.ravel()[is_edge], dst.ravel()[is_edge]
+
+
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges of given begins and lengths, one range after the other."""
+    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
 
 
 def with_walks(rows: DataFrame, edges: Column, n: Column, to: str = "walks", max_hops: int = MAX_HOPS, strict: bool = False) -> DataFrame:
@@ -103,31 +175,76 @@ def with_walks(rows: DataFrame, edges: Column, n: Column, to: str = "walks", max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, sizes = b.column(width), b.column(width + 1).to_pylist()
-            flat = lists.flatten()
-            src, dst = (flat.field(c).to_pylist() for c in ("src", "dst"))
-            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
-            out, at = [], 0
-            for size, length in zip(sizes, lengths):
-                successors: list[list[int]] = [[] for _ in range(size or 0)]
-                for i in range(at, at + length):
-                    successors[src[i]].append(dst[i])
-                at += length
-                out.append(walks(successors, max_hops, strict))
-            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(out, pa.list_(pa.list_(pa.int32())))], schema.names)
+            sizes = pc.fill_null(b.column(width + 1), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(sizes) - sizes
+            row, src, dst = _ends(b.column(width))
+            if ((src < 0) | (dst < 0) | (np.maximum(src, dst) >= sizes[row])).any():
+                raise IndexError("an edge's end is no node of its graph")
+            row_of = np.repeat(np.arange(len(sizes)), sizes)
+            flat, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for start, nodes, length in _bounded(sizes, first[row] + src, first[row] + dst, max_hops, strict):
+                own = nodes - first[row_of[start : start + len(length)]][:, None]
+                flat.append(own[np.arange(nodes.shape[1]) < length[:, None]])
+                lengths.append(length)
+            offsets = [np.concatenate([[0], np.cumsum(x)]).astype(np.int32) for x in (np.concatenate(lengths), sizes)]
+            each = pa.ListArray.from_arrays(offsets[0], pa.array(np.concatenate(flat).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.ListArray.from_arrays(offsets[1], each)], schema.names)
 
     pair = F.transform(edges, lambda e: F.struct(e["src"].cast("int").alias("src"), e["dst"].cast("int").alias("dst")))
     return rows.select("*", pair.alias("__edges"), n.cast("int").alias("__n")).mapInArrow(run, schema)
 
 
 def walk_lines(functions: DataFrame, kind: str = "instructions", min_blocks: int = 5, registers: bool = False, as_pairs: bool = False, strict: bool = False) -> DataFrame:
-    """binary, func_idx, name, start, ord, text: the texts along the walk from each block."""
+    """binary, func_idx, name, start, ord, text: the texts along the walk from each block.
+
+    Lines are made in Python where the walks are: a walk is places in the batch's texts, and
+    its lines are taken from there, LINES at a time.
+    """
     texts = F.transform("blocks", lambda b: block_texts(b, kind, registers))
-    rows = functions.filter(_valid(min_blocks, True)).select("binary", "func_idx", "name", texts.alias("texts"), cfg_edges(F.col("blocks")).alias("edges"))
-    walked = with_walks(rows, F.col("edges"), node_count(F.col("edges")), strict=strict)
-    walk = walked.select("binary", "func_idx", "name", "texts", F.posexplode("walks").alias("start", "walk"))
-    along = F.flatten(F.transform("walk", lambda i: F.get("texts", i)))
-    return walk.select("binary", "func_idx", "name", "start", F.posexplode(pairs(along) if as_pairs else along).alias("ord", "text"))
+    numbers = [F.col(f"blocks.{c}").cast("array<bigint>").alias(c) for c in ("offset", "jump", "fail")]
+    rows = functions.filter(_valid(min_blocks, True)).select("binary", "func_idx", "name", texts.alias("texts"), *numbers)
+    added = [T.StructField(c, t) for c, t in (("start", T.IntegerType()), ("ord", T.IntegerType()), ("text", T.StringType()))]
+    schema = T.StructType([*rows.schema.fields[:3], *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blocks = b.column(3).flatten()
+            strings, n_texts = blocks.flatten(), _lengths(blocks)
+            begin, n_blocks = np.cumsum(n_texts) - n_texts, _lengths(b.column(3))
+            row = np.repeat(np.arange(len(n_blocks)), n_blocks)
+            offset, *targets = (c.flatten().fill_null(-1).to_numpy() for c in b.columns[4:])
+            src, dst = _control_flow(row, offset, targets)
+            # A graph's nodes are the blocks up to the last one with an edge.
+            from_block = np.cumsum(n_blocks) - n_blocks
+            sizes = np.zeros(len(n_blocks), np.int64)
+            np.maximum.at(sizes, row[src], np.maximum(src, dst) + 1 - from_block[row[src]])
+            first, row_of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+            block_of = _spread(from_block, sizes)
+            skipped = (first - from_block)[row[src]]
+            for start, nodes, length in _bounded(sizes, src + skipped, dst + skipped, MAX_HOPS, strict):
+                along = block_of[nodes[np.arange(nodes.shape[1]) < length[:, None]]]
+                until, n = np.cumsum(length), n_texts[along]
+                lines = np.concatenate([[0], np.cumsum(n)])[until]  # of all walks up to each
+                at = 0
+                while at < len(length):
+                    done = lines[at - 1] if at else 0
+                    to = max(at + 1, int(np.searchsorted(lines, done + LINES, "right")))
+                    own = slice(until[at - 1] if at else 0, until[to - 1])
+                    place, each = _spread(begin[along[own]], n[own]), np.diff(lines[at:to], prepend=done)
+                    walk, order = np.repeat(np.arange(start + at, start + to), each), _spread(np.zeros(to - at, np.int64), each)
+                    if as_pairs:
+                        kept = np.flatnonzero(order < np.repeat(each, each) - 1)
+                        text = pc.binary_join_element_wise(strings.take(pa.array(place[kept])), strings.take(pa.array(place[kept + 1])), PAIR)
+                        walk, order = walk[kept], order[kept]
+                    else:
+                        text = strings.take(pa.array(place))
+                    of = row_of[walk]
+                    ids = pa.array(of)
+                    numbers = [pa.array(x.astype(np.int32)) for x in (walk - first[of], order)]
+                    yield pa.RecordBatch.from_arrays([*[c.take(ids) for c in b.columns[:3]], *numbers, text], schema.names)
+                    at = to
+
+    return rows.mapInArrow(run, schema)
 
 
 def pcode_lines(functions: DataFrame, as_pairs: bool = False) -> DataFrame:

@@ -23,10 +23,15 @@ def _functions(spark: SparkSession, d: str, esil: bool = False) -> DataFrame:
     of the order's architecture.
     """
     call = F.element_at(F.array(F.lit("call"), F.lit("bl"), F.lit("jal")), (F.col("l_orderkey") % 3 + 1).cast("int"))
-    text = F.when(F.col("l_linenumber") == 3, F.concat(call, F.lit(" sym.imp.f"), F.col("l_suppkey").cast("string"))).otherwise(texts._instruction())
-    kind = F.when(F.col("l_quantity") > 45, "invalid").when(F.col("l_linenumber") == 3, "call").otherwise("mov")
-    line = F.struct(*_SORTS, kind.alias("kind"), text.alias("text"), (texts._esil() if esil else F.lit(None).cast("string")).alias("esil"))
-    each = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x")).withColumn("n", F.size("x"))
+
+    def line(x):
+        text = F.when(x["l_linenumber"] == 3, F.concat(call, F.lit(" sym.imp.f"), x["l_suppkey"].cast("string"))).otherwise(texts._instruction(lambda c: x[c]))
+        kind = F.when(x["l_quantity"] > 45, "invalid").when(x["l_linenumber"] == 3, "call").otherwise("mov")
+        return F.struct(x["l_suppkey"].alias("l_suppkey"), x["l_partkey"].alias("l_partkey"), kind.alias("kind"), text.alias("text"), (texts._esil(lambda c: x[c]) if esil else F.lit(None).cast("string")).alias("esil"))
+
+    # Texts are made of an order's lines, after the shuffle, which so carries numbers only.
+    lines = F.array_sort(F.collect_list(F.struct(*_SORTS)))
+    each = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(lines.alias("x")).select("l_orderkey", F.transform("x", line).alias("x"), F.size("x").alias("n"))
 
     def block(x, i):
         jump = F.when(x["l_suppkey"] % 4 != 0, 100 + (i + 1) % F.col("n") * 10).otherwise(-1)

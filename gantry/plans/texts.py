@@ -13,26 +13,26 @@ from gantry.plans.rows import _sentences, _table
 _SORTS = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 
 
-def _hex(c: str):
-    return F.lower(F.hex(F.col(c).cast("bigint")))
+def _hex(c):
+    return F.lower(F.hex((F.col(c) if isinstance(c, str) else c).cast("bigint")))
 
 
-def _instruction() -> F.Column:
-    """A line as disassembly: its numbers stand in for registers, immediates and addresses."""
-    number = F.col("l_linenumber")
+def _instruction(of=F.col) -> F.Column:
+    """A line as disassembly: its numbers, columns or what `of` gives by name, stand in for registers, immediates and addresses."""
+    number = of("l_linenumber")
     return (
-        F.when(number == 1, F.concat(F.lit("mov eax, 0x"), _hex("l_partkey")))
-        .when(number == 2, F.concat(F.lit("lea rdi, [rbp - 0x"), F.hex(F.col("l_quantity").cast("bigint")), F.lit("]")))
-        .when(number == 3, F.concat(F.lit("call sym.imp.f"), F.col("l_suppkey").cast("string")))
-        .when(number == 4, F.concat(F.lit("lw a0, 0x"), _hex("l_quantity"), F.lit("(sp)")))
-        .when(number == 5, F.concat(F.lit("mov rsi, str.name_"), F.col("l_partkey").cast("string")))
-        .when(number == 6, F.concat(F.lit("cmp dword [rax*8], 0xffffff"), _hex("l_quantity")))
-        .otherwise(F.concat(F.lit("nop word cs:[rax + r8*"), F.col("l_suppkey").cast("string"), F.lit("]")))
+        F.when(number == 1, F.concat(F.lit("mov eax, 0x"), _hex(of("l_partkey"))))
+        .when(number == 2, F.concat(F.lit("lea rdi, [rbp - 0x"), F.hex(of("l_quantity").cast("bigint")), F.lit("]")))
+        .when(number == 3, F.concat(F.lit("call sym.imp.f"), of("l_suppkey").cast("string")))
+        .when(number == 4, F.concat(F.lit("lw a0, 0x"), _hex(of("l_quantity")), F.lit("(sp)")))
+        .when(number == 5, F.concat(F.lit("mov rsi, str.name_"), of("l_partkey").cast("string")))
+        .when(number == 6, F.concat(F.lit("cmp dword [rax*8], 0xffffff"), _hex(of("l_quantity"))))
+        .otherwise(F.concat(F.lit("nop word cs:[rax + r8*"), of("l_suppkey").cast("string"), F.lit("]")))
     )
 
 
-def _esil() -> F.Column:
-    return F.concat(F.lit("0x"), _hex("l_partkey"), F.lit(",rax,+,"), (F.col("l_orderkey") + 1000).cast("string"), F.lit(",eax,=,[4],0xffffff"), _hex("l_quantity"), F.lit(",a7,-="))
+def _esil(of=F.col) -> F.Column:
+    return F.concat(F.lit("0x"), _hex(of("l_partkey")), F.lit(",rax,+,"), (F.col("l_orderkey") + 1000).cast("string"), F.lit(",eax,=,[4],0xffffff"), _hex(of("l_quantity")), F.lit(",a7,-="))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
