@@ -43,18 +43,14 @@ def _rewrite(text: Column, patterns: list[tuple[str, str]], flags: str) -> Colum
     return reduce(lambda c, p: F.regexp_replace(c, F.lit(flags + p[0]), F.lit(p[1])), patterns, text)
 
 
-def _rewrite_where(text: Column, patterns: list[tuple[str, str]], holds: list[tuple[str, ...]], flags: str) -> Column:
-    """As `_rewrite`, but a pattern is only tried where the text holds what its matches hold: a search costs a fraction of a match.
-
-    The text so far is bound as a lambda's argument, so that it is computed once.
-    """
+def _rewrite_where(texts: Column, patterns: list[tuple[str, str]], holds: list[tuple[str, ...]], flags: str) -> Column:
+    """As `_rewrite` on an array, but a pattern is only tried on texts that hold what its matches hold: a search costs a fraction of a match."""
 
     def rule(pattern: str, by: str, parts: tuple[str, ...]):
         may = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(p)) for p in parts])
         return lambda t: F.when(may(t), F.regexp_replace(t, F.lit(flags + pattern), F.lit(by))).otherwise(t)
 
-    rules = [rule(*p, parts) for p, parts in zip(patterns, holds, strict=True)]
-    return F.get(reduce(F.transform, rules, F.array(text)), F.lit(0))
+    return reduce(F.transform, [rule(*p, parts) for p, parts in zip(patterns, holds, strict=True)], texts)
 
 
 def _masked_disasm(token: Column) -> Column:
@@ -75,18 +71,27 @@ def _masked_disasm(token: Column) -> Column:
     )
 
 
-def disasm(text: Column, registers: bool = False, unicode: bool = True, nested: bool = False) -> Column:
+def _spaced(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(","), F.lit(" ")), F.lit("  "), F.lit(" "))
+
+
+def _masked(text: Column) -> Column:
+    return F.array_join(F.transform(F.filter(F.split(text, " "), lambda t: t != ""), _masked_disasm), " ")
+
+
+def disasm(text: Column, registers: bool = False, unicode: bool = True) -> Column:
     """Normalised disassembly; `registers` masks register names. Null stays null.
 
-    unicode: white-space classes as in Unicode; False for ASCII classes. nested: for texts
-    within arrays, whose code is not generated.
+    unicode: white-space classes as in Unicode; False for ASCII classes.
     """
-    spaced = F.replace(F.replace(text, F.lit(","), F.lit(" ")), F.lit("  "), F.lit(" "))
-    flags = "(?Ud)" if unicode else "(?d)"
-    out = _rewrite_where(spaced, DISASM_PATTERNS, DISASM_HOLDS, flags) if nested else _rewrite(spaced, DISASM_PATTERNS, flags)
-    if not registers:
-        return out
-    return F.array_join(F.transform(F.filter(F.split(out, " "), lambda t: t != ""), _masked_disasm), " ")
+    out = _rewrite(_spaced(text), DISASM_PATTERNS, "(?Ud)" if unicode else "(?d)")
+    return _masked(out) if registers else out
+
+
+def disasm_array(texts: Column, registers: bool = False) -> Column:
+    """`disasm` of each text of an array: one pass over the array for each pattern."""
+    out = _rewrite_where(F.transform(texts, _spaced), DISASM_PATTERNS, DISASM_HOLDS, "(?Ud)")
+    return F.transform(out, _masked) if registers else out
 
 
 def esil(text: Column, op_type: Column, registers: bool = False) -> Column:

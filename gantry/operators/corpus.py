@@ -20,16 +20,27 @@ MAX_HOPS = 10
 STARTS, LINES = 8192, 1 << 17
 
 
-def block_texts(block: Column, kind: str, registers: bool = False) -> Column:
-    """Normalised texts of a block's operations.
+def op_texts(ops: Column, kind: str, registers: bool = False) -> Column:
+    """Normalised texts of an array of operations; null for those that have none.
 
     esil, disasm, pseudo: those of two bytes or more; instructions: every disassembly text
     that isn't null.
     """
     source = {"esil": "esil", "disasm": "disasm", "pseudo": "opcode", "instructions": "disasm"}[kind]
-    there = (lambda o: o[source].isNotNull()) if kind == "instructions" else (lambda o: F.octet_length(o[source]) > 1)
-    norm = (lambda o: normalise.esil(o[source], o["type"], registers)) if kind == "esil" else (lambda o: normalise.disasm(o[source], registers, nested=True))
-    return F.transform(F.filter(block["ops"], there), norm)
+    if kind == "esil":
+        return F.transform(ops, lambda o: F.when(F.octet_length(o[source]) > 1, normalise.esil(o[source], o["type"], registers)))
+    texts = ops[source] if kind == "instructions" else F.transform(ops[source], lambda t: F.when(F.octet_length(t) > 1, t))
+    return normalise.disasm_array(texts, registers)
+
+
+def block_texts(block: Column, kind: str, registers: bool = False) -> Column:
+    """Normalised texts of a block's operations that have one."""
+    return F.filter(op_texts(block["ops"], kind, registers), lambda t: t.isNotNull())
+
+
+def _function_texts(kind: str, registers: bool) -> Column:
+    """Texts of all operations of the row's function in order; null for those that have none."""
+    return op_texts(F.flatten("blocks.ops"), kind, registers)
 
 
 def _valid(min_blocks: int, strict: bool) -> Column:
@@ -39,7 +50,7 @@ def _valid(min_blocks: int, strict: bool) -> Column:
 
 def function_strings(functions: DataFrame, kind: str = "esil", min_blocks: int = 5, registers: bool = False) -> DataFrame:
     """binary, func_idx, name, text: all texts of a function in order, by spaces, commas as spaces; functions without text are left out."""
-    texts = F.filter(F.flatten(F.transform("blocks", lambda b: block_texts(b, kind, registers))), lambda t: t != "")
+    texts = F.filter(_function_texts(kind, registers), lambda t: t != "")
     joined = F.array_join(F.transform(texts, lambda t: F.translate(t, ",", " ")), " ")
     return functions.filter(_valid(min_blocks, False)).select("binary", "func_idx", "name", joined.alias("text")).filter("text <> ''")
 
@@ -52,7 +63,7 @@ def string_map(strings: DataFrame, keys: Sequence[str] = ("binary",)) -> DataFra
 
 def linear_walk(functions: DataFrame, kind: str = "instructions", min_blocks: int = 5, registers: bool = False) -> DataFrame:
     """binary, func_idx, name, ord, text: a row for each instruction."""
-    texts = F.flatten(F.transform("blocks", lambda b: block_texts(b, kind, registers)))
+    texts = F.filter(_function_texts(kind, registers), lambda t: t.isNotNull())
     return functions.filter(F.size("blocks") >= min_blocks).select("binary", "func_idx", "name", F.posexplode(texts).alias("ord", "text"))
 
 
@@ -200,19 +211,21 @@ def walk_lines(functions: DataFrame, kind: str = "instructions", min_blocks: int
     Lines are made in Python where the walks are: a walk is places in the batch's texts, and
     its lines are taken from there, LINES at a time.
     """
-    texts = F.transform("blocks", lambda b: block_texts(b, kind, registers))
-    numbers = [F.col(f"blocks.{c}").cast("array<bigint>").alias(c) for c in ("offset", "jump", "fail")]
-    rows = functions.filter(_valid(min_blocks, True)).select("binary", "func_idx", "name", texts.alias("texts"), *numbers)
+    numbers = [F.transform("blocks.ops", F.size).alias("n_ops"), *[F.col(f"blocks.{c}").cast("array<bigint>").alias(c) for c in ("offset", "jump", "fail")]]
+    rows = functions.filter(_valid(min_blocks, True)).select("binary", "func_idx", "name", _function_texts(kind, registers).alias("texts"), *numbers)
     added = [T.StructField(c, t) for c, t in (("start", T.IntegerType()), ("ord", T.IntegerType()), ("text", T.StringType()))]
     schema = T.StructType([*rows.schema.fields[:3], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blocks = b.column(3).flatten()
-            strings, n_texts = blocks.flatten(), _lengths(blocks)
-            begin, n_blocks = np.cumsum(n_texts) - n_texts, _lengths(b.column(3))
+            strings = b.column(3).flatten()
+            has_text = np.concatenate([[0], np.cumsum(strings.is_valid().to_numpy(zero_copy_only=False))])
+            strings = strings.drop_null()
+            until_op = np.cumsum(b.column(4).flatten().to_numpy())
+            n_texts = np.diff(has_text[until_op], prepend=0)
+            begin, n_blocks = np.cumsum(n_texts) - n_texts, _lengths(b.column(4))
             row = np.repeat(np.arange(len(n_blocks)), n_blocks)
-            offset, *targets = (c.flatten().fill_null(-1).to_numpy() for c in b.columns[4:])
+            offset, *targets = (c.flatten().fill_null(-1).to_numpy() for c in b.columns[5:])
             src, dst = _control_flow(row, offset, targets)
             # A graph's nodes are the blocks up to the last one with an edge.
             from_block = np.cumsum(n_blocks) - n_blocks

@@ -24,20 +24,18 @@ def _functions(spark: SparkSession, d: str, esil: bool = False) -> DataFrame:
     """
     call = F.element_at(F.array(F.lit("call"), F.lit("bl"), F.lit("jal")), (F.col("l_orderkey") % 3 + 1).cast("int"))
 
-    def line(x):
-        text = F.when(x["l_linenumber"] == 3, F.concat(call, F.lit(" sym.imp.f"), x["l_suppkey"].cast("string"))).otherwise(texts._instruction(lambda c: x[c]))
-        kind = F.when(x["l_quantity"] > 45, "invalid").when(x["l_linenumber"] == 3, "call").otherwise("mov")
-        return F.struct(x["l_suppkey"].alias("l_suppkey"), x["l_partkey"].alias("l_partkey"), kind.alias("kind"), text.alias("text"), (texts._esil(lambda c: x[c]) if esil else F.lit(None).cast("string")).alias("esil"))
-
     # Texts are made of an order's lines, after the shuffle, which so carries numbers only.
     lines = F.array_sort(F.collect_list(F.struct(*_SORTS)))
-    each = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(lines.alias("x")).select("l_orderkey", F.transform("x", line).alias("x"), F.size("x").alias("n"))
+    each = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(lines.alias("x")).withColumn("n", F.size("x"))
 
     def block(x, i):
+        text = F.when(x["l_linenumber"] == 3, F.concat(call, F.lit(" sym.imp.f"), x["l_suppkey"].cast("string"))).otherwise(texts._instruction(lambda c: x[c]))
+        kind = F.when(x["l_quantity"] > 45, "invalid").when(x["l_linenumber"] == 3, "call").otherwise("mov")
+        raw = texts._esil(lambda c: x[c]) if esil else F.lit(None).cast("string")
+        ops = F.transform(F.array(text), lambda t: F.struct(kind.alias("type"), t.alias("opcode"), t.alias("disasm"), raw.alias("esil")))
         jump = F.when(x["l_suppkey"] % 4 != 0, 100 + (i + 1) % F.col("n") * 10).otherwise(-1)
-        op = F.struct(x["kind"].alias("type"), x["text"].alias("opcode"), x["text"].alias("disasm"), x["esil"].alias("esil"))
         none = F.lit(None).cast("struct<cases:array<int>>")
-        return F.struct((100 + i * 10).cast("bigint").alias("offset"), jump.cast("bigint").alias("jump"), (100 + x["l_partkey"] % 9 * 10).cast("bigint").alias("fail"), none.alias("switchop"), F.array(op).alias("ops"))
+        return F.struct((100 + i * 10).cast("bigint").alias("offset"), jump.cast("bigint").alias("jump"), (100 + x["l_partkey"] % 9 * 10).cast("bigint").alias("fail"), none.alias("switchop"), ops.alias("ops"))
 
     key = F.col("l_orderkey")
     arch = F.element_at(F.array(*map(F.lit, ("X86", "ARM", "MIPS"))), (key % 3 + 1).cast("int"))
